@@ -34,3 +34,8 @@ def word_array(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of texts by bytes, so that a run of long texts fits a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
