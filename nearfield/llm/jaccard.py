@@ -281,5 +281,11 @@ def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     return roots if rest.isEmpty() else components(links.unionByName(rest))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose component has a smaller id; rows with one id stay or go together."""
+    gone = near_duplicates(docs, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

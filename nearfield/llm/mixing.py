@@ -51,17 +51,19 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], s
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), shares: Sequence[float] = (1.5,), cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source, source_size, target, taken) for each document and, with several shares, target_i and taken_i
-    of the nested mixes.  The text is read once, for its size and hash; what follows reads that narrow table.
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), shares: Sequence[float] = (1.5,), cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep, size, source, source_size, target, taken) for each document and, with several shares, target_i and taken_i
+    of the nested mixes.  The text is read once, for its size and hash; what follows reads that narrow table.  With
+    ``keep`` (columns of docs) the rows come from a second pass over docs, so that texts are never joined by id.
 
     One row a source comes to the driver, for the reshared targets: a corpus has a bounded number of sources.
     """
     spark = docs.sparkSession
-    narrow = durable(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("_h")))
+    columns = [F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("_h")]
+    narrow = durable(docs.select(F.col(id_col), *columns))
     sizes = [(r["source"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     source_size = dict(sizes)
-    out = narrow
+    out = docs.select(F.col(id_col), *[F.col(c) for c in keep], *columns) if keep else narrow
     for i, share in enumerate(shares):
         tail = f"_{i}" if i else ""
         target = targets(sizes, weights, share, cap)

@@ -48,11 +48,13 @@ def with_counts(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     step = step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.size("_t") > 1, places).otherwise(F.array().cast("array<int>")).alias("_p"))
     # a window covers three words, less those of the repeated window before it
     covered = F.aggregate("_p", F.struct(F.lit(-9).alias("last"), F.lit(0).cast("bigint").alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
-    return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
+    # _bar, which base_failed() reads, keeps filters above this projection: pushed through, they would copy the arrays'
+    # expressions into every lambda that names them
+    return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), F.monotonically_increasing_id().alias("_bar"))
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")) | (F.col("_bar") < 0)
 
 
 def vector() -> list[Column]:
@@ -138,18 +140,38 @@ def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
 CONSISTENCY = 0.5 / 0.2386
 
 
-def judge(docs: DataFrame, id_cols: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id_cols, base counts, base_failed, distance (NULL without an estimate) and kept."""
-    named = docs.select(*id_cols, F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).alias("_text"))
-    stats = durable(with_counts(named, "_text", [*id_cols, "_lang", "_source"]).withColumn("base_failed", base_failed()).withColumns(dict(zip(NAMES, vector(), strict=True))))
-    est = estimates(stats.filter(~F.col("base_failed"))).filter(F.col("n") >= MIN_ROWS)
-    # the most specific estimate of every (language, source) there is
-    groups = stats.select("_lang", "_source").distinct().select("_lang", "_source", _group(2).alias("_key"), F.explode(F.array(*[_group(k) for k in range(3)])).alias("g"))
+def _statistics(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    named = docs.select(*keep, F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).alias("_text"))
+    return with_counts(named, "_text", [*keep, "_lang", "_source"]).withColumn("base_failed", base_failed()).withColumns(dict(zip(NAMES, vector(), strict=True)))
+
+
+def _verdicts(stats: DataFrame, est: DataFrame) -> DataFrame:
+    """stats with the distance under the most specific estimate of its language and source, and kept."""
+    est = est.filter(F.col("n") >= MIN_ROWS)
     params = [c for c in est.columns if c not in ("g", "n", "level")]
-    best = groups.join(est, "g").groupBy("_key").agg(F.max_by(F.struct(*params), F.col("level")).alias("_e")).select("_key", "_e.*")
-    out = stats.withColumn("_key", _group(2)).join(best, "_key", "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
-    return out.select(*id_cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    held = est.select("g", F.struct("level", *params).alias("_e"))
+    out = stats
+    for k in range(3):  # a row a group at most: languages and sources are few beside the texts
+        out = out.join(held.select(F.col("g").alias("_key"), F.col("_e").alias(f"_e{k}")), _group(k) == F.col("_key"), "left").drop("_key")
+    out = out.withColumn("_e", F.coalesce("_e2", "_e1", "_e0")).select(*stats.columns, "_e.*").withColumn("distance", _distance())
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
+
+
+def judge(docs: DataFrame, id_cols: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """id_cols, base counts, base_failed, distance (NULL without an estimate) and kept, for each row."""
+    stats = durable(_statistics(docs, id_cols, text_col, lang_col, source_col))
+    out = _verdicts(stats, estimates(stats.filter(~F.col("base_failed"))))
+    return out.select(*id_cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows that the rules keep, in docs' columns.  Texts are counted again rather than joined by id: no text is
+    shuffled, and rows with NULL or repeated ids are judged by what they hold."""
+    stats = durable(_statistics(docs, [], text_col, lang_col, source_col)).filter(~F.col("base_failed"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    named = whole.select("_row", *[F.col("_row")[c].alias(f"_c{i}") for i, c in enumerate((text_col, lang_col, source_col))])
+    rows = _verdicts(_statistics(named, ["_row"], "_c0", "_c1", "_c2"), estimates(stats))
+    return rows.filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -83,6 +83,27 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col:
     return out, whole
 
 
+def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", length_col: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """docs with every found span replaced by the mark (overlapping spans by one), and the code points counted again
+    in length_col.  Findings are joined by blob, so that ids may be NULL or repeat."""
+    paths, _ = scan(docs, id_col=id_col, text_col=text_col)
+    hits = paths.filter(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("_f")).withColumnRenamed("blob", "_blob")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_b", F.sha2(F.coalesce(F.col("_row")[text_col], F.lit("")).cast("binary"), 256))
+    joined = whole.join(hits, F.col("_b") == F.col("_blob"), "left")
+    text = F.col("_row")[text_col]
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        piece = F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
+        out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(piece))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+    made = F.aggregate("_f", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.lit(2147483647))))
+    done = joined.withColumn("_t", F.when(F.col("_f").isNull(), text).otherwise(made))
+    new = {text_col: F.col("_t")} | ({length_col: F.when(F.col("_f").isNull(), F.col("_row")[length_col]).otherwise(F.length("_t").cast(docs.schema[length_col].dataType))} if length_col else {})
+    return done.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 def _joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
