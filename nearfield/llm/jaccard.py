@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm.common import bound_batches, documents, durable
+from nearfield.llm.common import bound_batches, documents, durable, shuffle_parts
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -208,31 +208,46 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
-def _rest(labelled: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, where sizes and bit sketches allow a link."""
-    bits = 1024
+_WORDS = 16
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, n, f): size and bit sketch of 1,024 parities."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             s = [np.frombuffer(x, U) for x in pdf["s"]]
-            yield pd.DataFrame({"node": pdf["node"], "n": [len(x) for x in s], "f": [np.packbits(fold(x, bits)).tobytes() for x in s]})
+            yield pd.DataFrame({"node": pdf["node"], "n": [len(x) for x in s], "f": [np.packbits(fold(x, 64 * _WORDS)).view("i8") for x in s]})
+
+    return durable(sets.mapInPandas(sketch, "node bigint, n bigint, f array<bigint>"))
+
 
-    small = sets.mapInPandas(sketch, "node bigint, n bigint, f binary")
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link: parities that differ are no more than the shingles that
+    do, which are at most a ninth of both sizes together."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("f").alias(f"f{c}"))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (100 * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")) & ((100 + LEAST) * apart <= (100 - LEAST) * (F.col("na") + F.col("nb")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b")
+
+
+def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different components, where sizes and bit sketches allow a link."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "node"], kind="stable")
         n, c, v = pdf["n"].to_numpy(), pdf["c"].to_numpy(), pdf["node"].to_numpy()
-        f = np.stack([np.frombuffer(x, U) for x in pdf["f"]])
+        f = np.stack(pdf["f"].to_numpy()).view(U)
         out = []
         for i in range(len(pdf) - 1):  # sizes in order: partners of i end at n / 0.8
             hi = np.searchsorted(n, 100 * n[i] // LEAST, "right")
             j = i + 1 + np.flatnonzero(c[i + 1 : hi] != c[i])
-            j = j[9 * np.bitwise_count(f[j] ^ f[i]).sum(1) <= n[j] + n[i]] if len(j) else j
+            j = j[(100 + LEAST) * np.bitwise_count(f[j] ^ f[i]).sum(1, dtype="i8") <= (100 - LEAST) * (n[j] + n[i])] if len(j) else j
             out += [(min(v[i], w), max(v[i], w)) for w in v[j].tolist()]
         return pd.DataFrame(out, columns=["a", "b"])
 
     open_ = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    return labelled.join(open_, "bucket").join(small, "node").groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint").distinct()
+    return labelled.join(open_, "bucket").join(sketches, "node").groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,30 +269,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """(node, root) of the linked nodes."""
-    spark = docs.sparkSession
+    """(node, root) of the linked nodes.  In the first round every node is compared with the smallest of its buckets'
+    first nodes, later each component of a bucket with the bucket's first one, as long as that links any."""
+    spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
     sets = _sets(docs, text_col, found)
-    links = done = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
+    sketches = _sketches(sets)
+    lead = found.groupBy("bucket").agg(F.min("node").alias("a"))
+    tried = found.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+    tried = durable(_possible(tried, sketches))
+    links = durable(_links(tried, sets))
+    roots = components(links)
     while True:
-        label = found.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("c"))
-        label = durable(label)
-        # of each bucket: one node a component, compared with the first one's
+        label = durable(found.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("c")))
         one = label.groupBy("bucket", "c").agg(F.min("node").alias("x"))
-        lead = one.groupBy("bucket").agg(F.min(F.struct("c", "x")).alias("l"))
-        stars = one.join(lead, "bucket").filter("c <> l.c").select("c", F.least("x", "l.x").alias("a"), F.greatest("x", "l.x").alias("b"))
-        # a component tries one pair a round
-        tried = stars.join(done, ["a", "b"], "left_anti").groupBy("c").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        tried = durable(tried)
-        if tried.isEmpty():
+        first = one.groupBy("bucket").agg(F.min(F.struct("c", "x")).alias("l"))
+        stars = one.join(first, "bucket").filter("c <> l.c").select(F.least("x", "l.x").alias("a"), F.greatest("x", "l.x").alias("b")).distinct()
+        new = durable(_possible(stars.join(tried, ["a", "b"], "left_anti"), sketches))
+        tried = durable(tried.unionByName(new).coalesce(parts))
+        more = durable(_links(new, sets))
+        if more.isEmpty():
             break
-        new = durable(_links(tried, sets))
-        done = durable(done.unionByName(tried))
-        if new.isEmpty():
-            continue
-        links = durable(links.unionByName(new))
+        links = durable(links.unionByName(more).coalesce(parts))
         roots = components(links)
-    rest = durable(_links(_rest(label, sets).join(done, ["a", "b"], "left_anti"), sets))
+    rest = durable(_links(_rest(label, sketches).join(tried, ["a", "b"], "left_anti"), sets))
     return roots if rest.isEmpty() else components(links.unionByName(rest))
 
 
