@@ -19,6 +19,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """durable(df) in partitions of about so many rows at least: small tables then cost a shuffle few files."""
+    held = durable(df)
+    return held.coalesce(max(1, held.count() // rows + 1))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import durable
+from nearfield.llm.common import compact
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for edges(a, b): root is the smallest node that is reachable.  Each step replaces edges by edges
     to a smaller neighbour, in a logarithmic number of rounds; a node's neighbours are never gathered in one row."""
-    now = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = compact(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    print_of = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
+    old = print_of(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: every larger neighbour goes to the smallest neighbour
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every smaller neighbour, and the node, go to the smallest one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        old, got = (d.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h")).first() for d in (now, new))
-        now = new
-        if tuple(old) == tuple(got):
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = compact(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        new = print_of(now)
+        if new == old:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        old = new

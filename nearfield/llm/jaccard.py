@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm.common import bound_batches, documents, durable, shuffle_parts
+from nearfield.llm.common import bound_batches, compact, documents, durable
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -162,7 +162,7 @@ def _bloom(found: DataFrame, count: int) -> tuple[bytes, int]:
         yield pd.DataFrame({"t": [np.packbits(table, bitorder="little").tobytes()]})
 
     whole = np.zeros(bits // 8, "u1")
-    for r in found.select("node").distinct().coalesce(8).mapInPandas(run, "t binary").toLocalIterator():
+    for r in found.coalesce(8).mapInPandas(run, "t binary").toLocalIterator():
         whole |= np.frombuffer(r["t"], "u1")
     return whole.tobytes(), bits
 
@@ -170,7 +170,8 @@ def _bloom(found: DataFrame, count: int) -> tuple[bytes, int]:
 def _sets(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     """(node, s): the packed sets of the nodes in buckets.  Texts are hashed again and only those that pass the bit
     table leave their task, once a task; a join then keeps exactly the wanted ones."""
-    table, bits = _bloom(found, found.select("node").distinct().count())
+    wanted_nodes = compact(found.select("node").distinct())
+    table, bits = _bloom(wanted_nodes, wanted_nodes.count())
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +190,7 @@ def _sets(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
                 yield pd.DataFrame(got, columns=["node", "s"])
 
     rows = docs.select(F.col(text_col).alias("_text")).mapInPandas(run, "node bigint, s binary")
-    return durable(rows.join(found.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    return compact(rows.join(wanted_nodes, "node", "left_semi").dropDuplicates(["node"]), 10_000)
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def _sketches(sets: DataFrame) -> DataFrame:
             s = [np.frombuffer(x, U) for x in pdf["s"]]
             yield pd.DataFrame({"node": pdf["node"], "n": [len(x) for x in s], "f": [np.packbits(fold(x, 64 * _WORDS)).view("i8") for x in s]})
 
-    return durable(sets.mapInPandas(sketch, "node bigint, n bigint, f array<bigint>"))
+    return compact(sets.mapInPandas(sketch, "node bigint, n bigint, f array<bigint>"))
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -232,22 +233,43 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, where sizes and bit sketches allow a link."""
+    """Pairs of one bucket in different components, where sizes and bit sketches allow a link.  A task streams through
+    its buckets, one after another."""
+
+    def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, f: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype="i8")
+        return (100 * n[i] >= LEAST * n[j]) & ((100 + LEAST) * apart <= (100 - LEAST) * (n[i] + n[j]))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "node"], kind="stable")
-        n, c, v = pdf["n"].to_numpy(), pdf["c"].to_numpy(), pdf["node"].to_numpy()
+        b, n, c, v = (pdf[x].to_numpy() for x in ("bucket", "n", "c", "node"))
         f = np.stack(pdf["f"].to_numpy()).view(U)
-        out = []
-        for i in range(len(pdf) - 1):  # sizes in order: partners of i end at n / 0.8
-            hi = np.searchsorted(n, 100 * n[i] // LEAST, "right")
-            j = i + 1 + np.flatnonzero(c[i + 1 : hi] != c[i])
-            j = j[(100 + LEAST) * np.bitwise_count(f[j] ^ f[i]).sum(1, dtype="i8") <= (100 - LEAST) * (n[j] + n[i])] if len(j) else j
-            out += [(min(v[i], w), max(v[i], w)) for w in v[j].tolist()]
+        got = []
+        step, live = 1, np.arange(len(b) - 1)
+        while len(live):  # partners so many places on; sizes ascend, so that a row is done at the first too large one
+            live = live[live + step < len(b)]
+            on = (b[live] == b[live + step]) & (100 * n[live] >= LEAST * n[live + step])
+            live = live[on]
+            some = live[c[live] != c[live + step]]
+            some = some[near(some, some + step, n, f)]
+            got.append(np.stack([np.minimum(v[some], v[some + step]), np.maximum(v[some], v[some + step])], 1))
+            step += 1
+        out = np.unique(np.concatenate(got), axis=0) if got else np.empty((0, 2), "i8")
         return pd.DataFrame(out, columns=["a", "b"])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            cut = np.searchsorted(pdf["bucket"].to_numpy(), pdf["bucket"].iat[-1]) if len(pdf) else 0
+            held = pdf.iloc[cut:]
+            if cut:
+                yield pairs(pdf.iloc[:cut])
+        if held is not None and len(held):
+            yield pairs(held)
+
     open_ = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    return labelled.join(open_, "bucket").join(sketches, "node").groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint").distinct()
+    rows = labelled.join(open_, "bucket").join(sketches, "node").select("bucket", "n", "node", "c", "f")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "n", "node").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = held.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
     groups = max(1 << (max(1, total // GROUP) - 1).bit_length(), 1)
     blobs = _blobs(docs, text_col, groups)
-    found = durable(blobs.groupBy("p").applyInPandas(_buckets, "bucket bigint, node bigint").dropDuplicates(["bucket", "node"]))
+    found = compact(blobs.groupBy("p").applyInPandas(_buckets, "bucket bigint, node bigint").dropDuplicates(["bucket", "node"]))
     roots = _roots(docs, text_col, found)
     named = held.filter("node is not null").select("_id", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
     least = named.groupBy("c").agg(F.min("_id").alias("component_id"))
@@ -269,30 +291,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """(node, root) of the linked nodes.  In the first round every node is compared with the smallest of its buckets'
-    first nodes, later each component of a bucket with the bucket's first one, as long as that links any."""
-    spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
+    """(node, root) of the linked nodes.  First every node is compared with the smallest of its buckets' first nodes,
+    then each component of a bucket with the bucket's first one.  That leaves few components in a bucket, and then
+    all of its pairs in different components are compared."""
     sets = _sets(docs, text_col, found)
     sketches = _sketches(sets)
     lead = found.groupBy("bucket").agg(F.min("node").alias("a"))
     tried = found.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
-    tried = durable(_possible(tried, sketches))
-    links = durable(_links(tried, sets))
+    tried = compact(_possible(tried, sketches))
+    links = compact(_links(tried, sets))
     roots = components(links)
-    while True:
-        label = durable(found.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("c")))
-        one = label.groupBy("bucket", "c").agg(F.min("node").alias("x"))
-        first = one.groupBy("bucket").agg(F.min(F.struct("c", "x")).alias("l"))
-        stars = one.join(first, "bucket").filter("c <> l.c").select(F.least("x", "l.x").alias("a"), F.greatest("x", "l.x").alias("b")).distinct()
-        new = durable(_possible(stars.join(tried, ["a", "b"], "left_anti"), sketches))
-        tried = durable(tried.unionByName(new).coalesce(parts))
-        more = durable(_links(new, sets))
-        if more.isEmpty():
-            break
-        links = durable(links.unionByName(more).coalesce(parts))
-        roots = components(links)
-    rest = durable(_links(_rest(label, sketches).join(tried, ["a", "b"], "left_anti"), sets))
-    return roots if rest.isEmpty() else components(links.unionByName(rest))
+    for step in (_leads, _rest):
+        label = compact(found.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("c")))
+        new = step(label, sketches).join(tried, ["a", "b"], "left_anti")
+        new = compact(_possible(new, sketches) if step is _leads else new)
+        tried = tried.unionByName(new)
+        more = compact(_links(new, sets))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+    return roots
+
+
+def _leads(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of a node of each component of a bucket and one of the bucket's first component."""
+    one = labelled.groupBy("bucket", "c").agg(F.min("node").alias("x"))
+    first = one.groupBy("bucket").agg(F.min(F.struct("c", "x")).alias("l"))
+    return one.join(first, "bucket").filter("c <> l.c").select(F.least("x", "l.x").alias("a"), F.greatest("x", "l.x").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
