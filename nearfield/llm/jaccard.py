@@ -291,20 +291,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """(node, root) of the linked nodes.  First every node is compared with the smallest of its buckets' first nodes,
-    then each component of a bucket with the bucket's first one.  That leaves few components in a bucket, and then
-    all of its pairs in different components are compared."""
+    """(node, root) of the linked nodes.  A node's weight is how many others its buckets hold: what a group of near
+    copies comes from outweighs its variants.  First every node is compared with the weightiest node that it shares a
+    bucket with, then each component of a bucket with the weightiest one.  That leaves few components in a bucket,
+    and then all of its pairs in different components are compared."""
     sets = _sets(docs, text_col, found)
     sketches = _sketches(sets)
-    lead = found.groupBy("bucket").agg(F.min("node").alias("a"))
-    tried = found.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+    sizes = found.groupBy("bucket").agg(F.count("*").alias("m"))
+    weights = found.join(sizes, "bucket").groupBy("node").agg(F.sum("m").alias("w"))
+    found = compact(found.join(weights, "node").select("bucket", F.struct("w", "node").alias("x")))
+    lead = found.groupBy("bucket").agg(F.max("x").alias("l"))
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    tried = found.join(lead, "bucket").filter("x <> l").groupBy("x.node").agg(F.max("l").alias("l")).select(*pair("node", "l.node")).distinct()
     tried = compact(_possible(tried, sketches))
     links = compact(_links(tried, sets))
     roots = components(links)
-    for step in (_leads, _rest):
-        label = compact(found.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("c")))
-        new = step(label, sketches).join(tried, ["a", "b"], "left_anti")
-        new = compact(_possible(new, sketches) if step is _leads else new)
+    for last in (False, True):
+        label = compact(found.withColumn("node", F.col("x.node")).join(roots, "node", "left").select("bucket", "node", "x", F.coalesce("root", "node").alias("c")))
+        if last:
+            new = _rest(label.drop("x"), sketches).join(tried, ["a", "b"], "left_anti")
+        else:
+            one = label.groupBy("bucket", "c").agg(F.max("x").alias("x"))
+            first = one.groupBy("bucket").agg(F.max(F.struct("x", "c")).alias("l"))
+            stars = one.join(first, "bucket").filter("c <> l.c").select(*pair("x.node", "l.x.node")).distinct()
+            new = _possible(stars.join(tried, ["a", "b"], "left_anti"), sketches)
+        new = compact(new)
         tried = tried.unionByName(new)
         more = compact(_links(new, sets))
         if not more.isEmpty():
@@ -313,13 +324,6 @@ def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     return roots
 
 
-def _leads(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of a node of each component of a bucket and one of the bucket's first component."""
-    one = labelled.groupBy("bucket", "c").agg(F.min("node").alias("x"))
-    first = one.groupBy("bucket").agg(F.min(F.struct("c", "x")).alias("l"))
-    return one.join(first, "bucket").filter("c <> l.c").select(F.least("x", "l.x").alias("a"), F.greatest("x", "l.x").alias("b")).distinct()
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id; rows with one id stay or go together."""
     gone = near_duplicates(docs, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
