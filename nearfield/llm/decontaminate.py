@@ -91,12 +91,8 @@ def _machine(name: str, items, n: int) -> Automaton:
     return _held[name, n]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items, spans) of every text; spans are code points of the original.
-
-    Blocks of items go to the workers one broadcast at a time.  With one block (200,000 words) it is one pass.
-    """
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> list[list[tuple[str, str]]]:
+    """The (id, text) rows in blocks of about BLOCK_WORDS words; one empty block if there are none."""
     blocks, block, size = [], [], 0
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(item_text), F.lit(""))).distinct()
     for item, text in rows.toLocalIterator():
@@ -105,7 +101,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "
         if size >= BLOCK_WORDS:
             blocks.append(block)
             block, size = [], 0
-    blocks = [*blocks, block] if block or not blocks else blocks
+    return [*blocks, block] if block or not blocks else blocks
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, items, spans) of every text; spans are code points of the original.
+
+    Blocks of items go to the workers one broadcast at a time.  With one block (200,000 words) it is one pass.
+    """
+    spark, blocks = docs.sparkSession, item_blocks(benchmark, item_col, item_text)
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
 
@@ -159,14 +163,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit word, in their own columns.  A map-only pass: the verdict travels with the row."""
     from nearfield.llm.rowwise import keep_rows
 
-    items = [tuple(r) for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).distinct().collect()]
-    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
-    if sum(len(words(t)) for _, t in items) > BLOCK_WORDS:
-        raise ValueError("benchmark above BLOCK_WORDS: use scan() and a join")
+    spark, blocks = docs.sparkSession, item_blocks(benchmark)
+    sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks]
 
     def clean(texts: pd.Series) -> np.ndarray:
-        machine = _machine(name, sent, WINDOW)
-        return np.array([not machine.scan(words(t))[0].any() for t in texts], bool)
+        kept = np.ones(len(texts), bool)
+        found = [words(t) for t in texts]
+        for name, block in sent:  # an automaton at a time
+            machine = _machine(name, block, WINDOW)
+            for i in np.flatnonzero(kept):
+                kept[i] = not machine.scan(found[i])[0].any()
+        return kept
 
     return keep_rows(docs, "text", clean)
 

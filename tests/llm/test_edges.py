@@ -39,6 +39,14 @@ def test_decontaminate(spark):
     assert decontaminate.scan(d.limit(0), b).count() == 0
 
 
+def test_decontaminate_in_blocks(spark, sf, monkeypatch):
+    d, b = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 300"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one = lambda: (sorted((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.scan(d, b).collect()), decontaminate.decontaminated(d, b).count())
+    whole = one()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
+    assert len(decontaminate.item_blocks(b)) > 2 and one() == whole
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for d in (nasty(spark), nasty(spark).limit(0)):
