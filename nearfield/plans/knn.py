@@ -165,6 +165,12 @@ class Knn:
         return rows.mapInPandas(search, f"query_id {qtype}, `{name}` {kind}, distance double")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer (a table of one small file is read by one task)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def as_matrix(vectors, elem: str) -> np.ndarray:
     if elem == "bit":
         return np.stack([np.frombuffer(bytes(b), "u1") for b in vectors])
@@ -187,7 +193,7 @@ def range_join(a: DataFrame, b: DataFrame, radius: float, id_col: str, column: s
     pivots = (pivots * 2)[:2]
     ring = lambda i: F.floor(S.distance(F.col(column), literal(pivots[i], "float32"), "float32", metric) / F.lit(float(radius)))
     near = lambda c: F.explode(F.array(c - 1, c, c + 1))
-    x = a.filter(F.col(column).isNotNull()).select(F.col(id_col).alias("a_id"), F.col(column).alias("_a"), ring(0).alias("_p"), ring(1).alias("_r"))
+    x = spread(a.filter(F.col(column).isNotNull()).select(id_col, column)).select(F.col(id_col).alias("a_id"), F.col(column).alias("_a"), ring(0).alias("_p"), ring(1).alias("_r"))
     y = b.filter(F.col(column).isNotNull()).select(F.col(id_col).alias("b_id"), F.col(column).alias("_b"), near(ring(0)).alias("_p"), ring(1).alias("_s")).select("b_id", "_b", "_p", near(F.col("_s")).alias("_r"))
     d = S.distance(F.col("_a"), F.col("_b"), "float32", metric)
     return x.join(y, ["_p", "_r"]).filter("a_id < b_id").select("a_id", "b_id", d.alias("distance")).filter(F.col("distance") < radius)

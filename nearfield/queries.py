@@ -368,7 +368,7 @@ def _(s, sf):
 @query("graph_recall")
 def _(s, sf):
     e = table(s, sf, "embeddings")
-    g, asked = GraphIndex(degree=32, width=64), _asked(s, sf, "vec_id < 5")
+    g, asked = GraphIndex(degree=32, width=64, shard_rows=512), _asked(s, sf, "vec_id < 5")
     path = shared_folder(s)
     g.build(e).write.parquet(path)
     return recall_at_k(g.search(s.read.parquet(path), asked, K), knn(s, sf).batch(asked, K))
