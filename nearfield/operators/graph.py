@@ -95,7 +95,7 @@ class GraphIndex:
 
         kind = dict(df.dtypes)[id_col]
         rows = rows.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"), id_col, column)
-        return rows.groupBy("shard").applyInPandas(graph, f"shard long, place int, `{id_col}` {kind}, `{column}` array<float>, links array<int>")
+        return rows.repartition(shards, "shard").groupBy("shard").applyInPandas(graph, f"shard long, place int, `{id_col}` {kind}, `{column}` array<float>, links array<int>")
 
     def search(self, index: DataFrame, queries: DataFrame, k: int, width: int | None = None, buffer: DataFrame | None = None, deleted: DataFrame | None = None, query_id: str = "query_id", query_col: str = "query") -> DataFrame:
         """(query_id, id, distance, rank) for a bounded query table (collected once; the beam is at least k wide)."""
