@@ -42,6 +42,10 @@ MAIN = frozenset(["article", "main"])
 FURNITURE = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar widget cookie cookies consent notice popup modal overlay newsletter subscribe share social comment comments disqus related".split())
 
 
+#: Bits of a table of subsequences that is held at once (32 MB).
+TABLE_BITS = 1 << 28
+
+
 def _furniture(attributes: str) -> bool:
     for m in _CLASS.finditer(attributes):
         for word in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()):
@@ -107,8 +111,30 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
     return out
 
 
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """Bit-parallel rows of the subsequence table: bit j is clear where place j of y lengthens the subsequence."""
+    places: dict[int, int] = {}
+    for j, v in enumerate(y):
+        places[v] = places.get(v, 0) | 1 << j
+    full = row = (1 << len(y)) - 1
+    for v in x:
+        u = row & places.get(v, 0)
+        row = ((row + u) | (row - u)) & full
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of x and each beginning of y."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), "u1"), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which entries of a belong to a longest common subsequence with b: bit-parallel rows, then a way back."""
+    """Which entries of a belong to a longest common subsequence with b.  Up to TABLE_BITS the rows are kept and walked
+    back; a larger table is halved at the place where both halves' lengths add up to most, so that memory is bounded."""
     hit = np.zeros(len(a), bool)
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -119,17 +145,15 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ea, eb = ea - 1, eb - 1
         hit[ea] = True
     x, y = a[lo:ea].tolist(), b[lo:eb].tolist()
-    places: dict[int, int] = {}
-    for j, v in enumerate(y):
-        places[v] = places.get(v, 0) | 1 << j
-    if not places.keys() & set(x):
+    if not set(y) & set(x):
         return hit
-    full = (1 << len(y)) - 1
-    row, rows = full, []
-    for v in x:
-        u = row & places.get(v, 0)
-        row = ((row + u) | (row - u)) & full
-        rows.append(row)
+    if len(x) > 1 and len(x) * len(y) > TABLE_BITS:
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        hit[lo : lo + half] = common(a[lo : lo + half], b[lo : lo + cut])
+        hit[lo + half : ea] = common(a[lo + half : ea], b[lo + cut : eb])
+        return hit
+    rows = list(_rows(x, y))
     i, j = len(x), len(y)
     while i and j:
         bit = 1 << (j - 1)
