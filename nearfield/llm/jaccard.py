@@ -13,7 +13,7 @@ Equal sets are one node from the start.  Nodes that share a sketch form a bucket
 looking at all their pairs: each is compared with one node of every component in it, components are joined, and
 this repeats until no bucket has two components that a comparison joins; then the pairs of a bucket that are
 still in different components, and whose bit sketches (XOR folds of their shingles) allow it, are all compared.
-Comparisons are exact.
+Large buckets are cut into blocks for that, and blocks are compared by twos.  Comparisons are exact.
 
 Edge cases: NULL and empty texts have empty sets, and link with nothing; rows that repeat, and rows with one id,
 are one document (they get one component); NULL ids are ignored when the smallest id is taken; an empty table gives
@@ -39,6 +39,8 @@ SHINGLE = 5
 LEAST = 80
 #: Entries of a reducing task, about.
 GROUP = 1 << 20
+#: Nodes of a bucket that are compared at a time.
+BLOCK = 4096
 
 
 def folded(texts: pd.Series) -> list[bytes]:
@@ -232,16 +234,32 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b")
 
 
+def _cells(labelled: DataFrame) -> DataFrame:
+    """(bucket, main, kr, km) of the buckets with several components.  One of more than BLOCK nodes is cut: the nodes of
+    its largest component, main, into km blocks and the others into kr; a smaller one is a block (main is NULL)."""
+    own = labelled.groupBy("bucket", "c").agg(F.count("*").alias("m"))
+    open_ = own.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top")).filter("parts > 1")
+    large = F.col("m") > BLOCK
+    count = lambda c, small: F.when(large, F.ceil(c / BLOCK)).otherwise(small).cast("bigint")
+    return open_.select("bucket", F.when(large, F.col("top.c")).alias("main"), count(F.col("m") - F.col("top.m"), 1).alias("kr"), count(F.col("top.m"), 0).alias("km"))
+
+
 def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of one bucket in different components, where sizes and bit sketches allow a link.  A task streams through
-    its buckets, one after another."""
+    cells (i, j), pairs of a bucket's blocks: it holds two blocks at a time, and no cell pairs main blocks."""
 
     def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, f: np.ndarray) -> np.ndarray:
         apart = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype="i8")
         return (100 * n[i] >= LEAST * n[j]) & ((100 + LEAST) * apart <= (100 - LEAST) * (n[i] + n[j]))
 
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        k = pdf[["bucket", "i", "j"]].to_numpy()
+        return np.concatenate([[False], (k[1:] != k[:-1]).any(1)])
+
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, n, c, v = (pdf[x].to_numpy() for x in ("bucket", "n", "c", "node"))
+        b = np.cumsum(starts(pdf))
+        n, c, v, own = (pdf[x].to_numpy() for x in ("n", "c", "node", "own"))
+        one = pdf["i"].to_numpy() == pdf["j"].to_numpy()
         f = np.stack(pdf["f"].to_numpy()).view(U)
         got = []
         step, live = 1, np.arange(len(b) - 1)
@@ -249,7 +267,7 @@ def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
             live = live[live + step < len(b)]
             on = (b[live] == b[live + step]) & (100 * n[live] >= LEAST * n[live + step])
             live = live[on]
-            some = live[c[live] != c[live + step]]
+            some = live[(c[live] != c[live + step]) & (one[live] | (own[live] != own[live + step]))]
             some = some[near(some, some + step, n, f)]
             got.append(np.stack([np.minimum(v[some], v[some + step]), np.maximum(v[some], v[some + step])], 1))
             step += 1
@@ -260,16 +278,20 @@ def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            cut = np.searchsorted(pdf["bucket"].to_numpy(), pdf["bucket"].iat[-1]) if len(pdf) else 0
+            cut = int(np.flatnonzero(starts(pdf)).max(initial=0)) if len(pdf) else 0
             held = pdf.iloc[cut:]
             if cut:
                 yield pairs(pdf.iloc[:cut])
         if held is not None and len(held):
             yield pairs(held)
 
-    open_ = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    rows = labelled.join(open_, "bucket").join(sketches, "node").select("bucket", "n", "node", "c", "f")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "n", "node").mapInPandas(run, "a bigint, b bigint").distinct()
+    block = lambda k: F.pmod(F.xxhash64("node"), F.greatest(k, F.lit(1).cast("bigint")))
+    own = F.when(F.col("c") == F.col("main"), F.col("kr") + block(F.col("km"))).otherwise(block(F.col("kr")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("own") >= F.col("kr"), F.col("kr")).otherwise(F.col("kr") + F.col("km")) - 1)
+    rows = labelled.join(_cells(labelled), "bucket").join(sketches, "node").withColumn("own", own)
+    rows = rows.select("bucket", "n", "node", "c", "f", "own", F.explode(others).alias("o"))
+    rows = rows.select("bucket", "n", "node", "c", "f", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "n", "node").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
