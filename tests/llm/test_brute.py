@@ -36,28 +36,6 @@ def test_jaccard(spark):
     assert got == {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
-    rng = random.Random(4)
-    base = [rng.getrandbits(64) for _ in range(60)]
-    sets = {v: np.unique(np.array(base[: rng.randint(45, 60)] + [rng.getrandbits(64) for _ in range(rng.randint(0, 9))], "u8")) for v in range(70)}
-    packed = spark.createDataFrame([(v, s.tobytes()) for v, s in sets.items()], "node bigint, s binary")
-    sketches = jaccard._sketches(packed)
-    rows = [(b, v, 0 if v < 30 else v // 3) for b in (1, 2) for v in sets if b == 1 or v % 2]
-    labelled = spark.createDataFrame([*rows, (3, 1, 0), (3, 2, 0)], "bucket bigint, node bigint, c bigint")
-    row = {r["node"]: (r["n"], np.array(r["f"], "i8").view("u8")) for r in sketches.collect()}
-    want = set()
-    for b, v, c in rows:
-        for b2, w, c2 in rows:
-            (n, f), (m, g) = row[v], row[w]
-            apart = int(np.bitwise_count(f ^ g).sum())
-            if b == b2 and v < w and c != c2 and 100 * min(n, m) >= 80 * max(n, m) and 180 * apart <= 20 * (n + m):
-                want.add((v, w))
-    assert want
-    for block in (4096, 7, 1):
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        assert {tuple(r) for r in jaccard._rest(labelled, sketches).collect()} == want, block
-
-
 def test_alignment_in_bounded_memory(monkeypatch):
     rng = random.Random(6)
     cases = [([rng.randrange(4) for _ in range(rng.randrange(40))], [rng.randrange(4) for _ in range(rng.randrange(40))]) for _ in range(300)]
