@@ -41,10 +41,10 @@ def with_counts(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     step = df.select(*keep, word_array(text).alias("_w"), (F.length(text) - lost(" \t\n\x0b\x0c\r")).cast("bigint").alias("word_chars"), lost(SYMBOLS).cast("bigint").alias("n_symbols"), lines.alias("_l"))
     step = step.select(*keep, "word_chars", "n_symbols", F.size("_w").cast("bigint").alias("n_words"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"), "_w", F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>")).alias("_i"))
     # (hash of the window, its place) in order: a window found twice stands next to its like
-    triples = F.array_sort(F.transform("_i", lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))
+    triples = F.sort_array(F.transform("_i", lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))
     step = step.withColumn("_t", triples)
     again = F.filter("_t", lambda x, j: (x["h"] == F.get("_t", j - 1)["h"]) | (x["h"] == F.get("_t", j + 1)["h"]))
-    places = F.array_sort(F.transform(again, lambda x: x["i"]))
+    places = F.sort_array(F.transform(again, lambda x: x["i"]))
     step = step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.size("_t") > 1, places).otherwise(F.array().cast("array<int>")).alias("_p"))
     # a window covers three words, less those of the repeated window before it
     covered = F.aggregate("_p", F.struct(F.lit(-9).alias("last"), F.lit(0).cast("bigint").alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
