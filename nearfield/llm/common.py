@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the folder of spark.checkpoint.dir and read again: unlike durable(), it is compressed,
+    and later reads take the columns they need."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or DEFAULT_DIR
+    out = f"{base}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return spark.read.parquet(out)
+
+
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """durable(df) in partitions of about so many rows at least: small tables then cost a shuffle few files."""
     held = durable(df)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, durable, word_array
+from nearfield.llm.common import documents, durable, word_array, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MIN_ROWS, STEPS, CUT = 50, 200, 4, 40.0
@@ -165,13 +165,15 @@ def judge(docs: DataFrame, id_cols: list[str], text_col: str = "text", lang_col:
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that the rules keep, in docs' columns.  Texts are counted again rather than joined by id: no text is
-    shuffled, and rows with NULL or repeated ids are judged by what they hold."""
-    stats = durable(_statistics(docs, [], text_col, lang_col, source_col)).filter(~F.col("base_failed"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The rows that the rules keep, in docs' columns.  Rows are written once beside their statistics, so that texts are
+    counted once and not shuffled, and the estimates read the narrow columns only; rows with NULL or repeated ids are
+    judged by what they hold."""
+    solid = [c for c, kind in docs.dtypes if kind != "void"]  # Parquet has no column without a type
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in solid]).alias("_row"))
     named = whole.select("_row", *[F.col("_row")[c].alias(f"_c{i}") for i, c in enumerate((text_col, lang_col, source_col))])
-    rows = _verdicts(_statistics(named, ["_row"], "_c0", "_c1", "_c2"), estimates(stats))
-    return rows.filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    stats = written(_statistics(named, ["_row"], "_c0", "_c1", "_c2"), "quality")
+    rows = _verdicts(stats, estimates(stats.filter(~F.col("base_failed"))))
+    return rows.filter("kept").select(*[F.col("_row")[c].alias(c) if c in solid else F.lit(None).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
