@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm.common import bound_batches, compact, documents, durable
+from nearfield.llm.common import bound_batches, compact, documents, durable, written
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -294,17 +294,21 @@ def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "n", "node").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): a row for each row of docs."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): (_id, n, node) of every row, and (_id, node, c) of the rows with a set, c being the component."""
+    bound_batches(docs.sparkSession)
     held = durable(nodes(docs, id_col, text_col))
     total = held.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
     groups = max(1 << (max(1, total // GROUP) - 1).bit_length(), 1)
     blobs = _blobs(docs, text_col, groups)
     found = compact(blobs.groupBy("p").applyInPandas(_buckets, "bucket bigint, node bigint").dropDuplicates(["bucket", "node"]))
     roots = _roots(docs, text_col, found)
-    named = held.filter("node is not null").select("_id", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    return held, held.filter("node is not null").select("_id", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id): a row for each row of docs."""
+    held, named = _linked(docs, id_col, text_col)
     least = named.groupBy("c").agg(F.min("_id").alias("component_id"))
     # the row's own component: by node, as rows with one id may differ in text
     by_node = named.select("node", "c").distinct().join(least, "c").select("node", "component_id")
@@ -347,9 +351,20 @@ def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller id; rows with one id stay or go together."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with one row of each component: the smallest id's (NULL ids last), of several such the one with the smallest
+    hash.  Rows are written once with a key of their own, so that NULL and repeated ids are told apart; rows without a
+    set all stay."""
+    solid = [c for c, kind in docs.dtypes if kind != "void"]  # Parquet has no column without a type
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if c in solid and "map<" not in kind]
+    row = F.struct(*[F.col(f"`{c}`") for c in solid]).alias("_row")
+    rows = written(docs.select(row, F.monotonically_increasing_id().alias("_k"), F.xxhash64(*hashed).alias("_h")), "near")
+    _, named = _linked(rows.select("_k", F.col("_row")[text_col].alias("_t")), "_k", "_t")
+    order = rows.select(F.col("_k").alias("_id"), F.struct(F.col("_row")[id_col].isNull().alias("none"), F.col("_row")[id_col].alias("id"), "_h", "_k").alias("_o"))
+    named = durable(named.select("_id", "c").join(order, "_id"))
+    first = named.groupBy("c").agg(F.min("_o").alias("_o")).select(F.col("_o._k").alias("_id"))
+    gone = named.select("_id").join(first, "_id", "left_anti").select(F.col("_id").alias("_k"))
+    kept = rows.join(gone, "_k", "left_anti")
+    return kept.select(*[F.col("_row")[c].alias(c) if c in solid else F.lit(None).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

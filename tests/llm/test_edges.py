@@ -57,6 +57,23 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).collect()
 
 
+def test_one_of_each_decides_by_row(spark):
+    words = [f"word{i}" for i in range(60)]
+    copy = lambda i: " ".join(words[:59] + [f"end{i}"])
+    other = lambda p: " ".join(f"{p}{i}" for i in range(30))
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect())
+    # a NULL id near a row with an id takes no other NULL id along, nor does a repeated id
+    rows = [(1, copy(1), 1), (None, copy(2), 2), (None, other("a"), 3), (None, None, 4), (2, copy(3), 5), (2, other("b"), 6), (3, "", 7)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    assert sorted(r["n_chars"] for r in got) == [1, 3, 4, 6, 7]
+    # copies that all have no id, or one id, leave one, whatever the order
+    for i in (None, 5):
+        some = [(i, copy(j), 0) for j in range(4)] + [(i, copy(0), 0), (i, other("c"), 0)]
+        left = kept(some)
+        assert len(left) == 2 and other("c") in [t for _, t in left]
+        assert kept(some[::-1]) == left
+
+
 def test_redaction_and_rows_without_ids(spark):
     d = spark.createDataFrame([(None, 'a password = "abcdefghijkl" é z', 33), (None, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r["text"]: r["n_chars"] for r in secrets.redacted(d, length_col="n_chars").collect()}
