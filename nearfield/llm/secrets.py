@@ -33,6 +33,14 @@ TIGHT = {"access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}"}
 BASE = ("assign", "access", "hex")
 
 
+#: What follows the header of a key block without its END line: headers, base64 runs (line feeds may be written as \\n
+#: in quoted keys), a shorter last one that stands alone on its line, and an END line of another label.
+KEY_LINES = (
+    r"^(?:\s|\\[nr])*+(?:[A-Z][A-Za-z0-9-]{0,30}:[^\n]*+\s*+)*+(?:[A-Za-z0-9+/=]{16,}+(?:[\s\"',]|\\[nr])*+)++"
+    r"(?:[A-Za-z0-9+/]++=*+(?=[ \t\r\"',]*+(?:\n|\\[nr]|$|-----)))?+(?:(?:[\s\"',]|\\[nr])*+-----END [A-Z ]{0,32}PRIVATE KEY-----)?+"
+)
+
+
 def match_parts(text: Column, kind: str, pattern: str, group: int) -> Column:
     """ARRAY<STRUCT<g, m, k>>: lengths of the text before each match, of the match and of what the rule measures;
     NULL without a match.  The last entry is the text after the last match."""
@@ -85,7 +93,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col:
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", length_col: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """docs with every found span replaced by the mark (overlapping spans by one), and the code points counted again
-    in length_col.  Findings are joined by blob, so that ids may be NULL or repeat."""
+    in length_col.  The finding of a key block is its header; the whole block is replaced.  Findings are joined by blob,
+    so that ids may be NULL or repeat."""
     paths, _ = scan(docs, id_col=id_col, text_col=text_col)
     hits = paths.filter(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("_f")).withColumnRenamed("blob", "_blob")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_b", F.sha2(F.coalesce(F.col("_row")[text_col], F.lit("")).cast("binary"), 256))
@@ -98,12 +107,22 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]",
         out = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(piece))).otherwise(s["out"])
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
-    made = F.aggregate("_f", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.lit(2147483647))))
+    spans = F.transform("_f", lambda x: F.struct(x["start"], F.when(x["kind"] == "pem", _key_end(text, x["start"], x["end"])).otherwise(x["end"]).alias("end")))
+    made = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.lit(2147483647))))
     done = joined.withColumn("_t", F.when(F.col("_f").isNull(), text).otherwise(made))
     new = {text_col: F.col("_t")} | ({length_col: F.when(F.col("_f").isNull(), F.col("_row")[length_col]).otherwise(F.length("_t").cast(docs.schema[length_col].dataType))} if length_col else {})
     return done.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
+def _key_end(text: Column, start: Column, end: Column) -> Column:
+    """Where the key block ends whose header is at start..end: after the matching END line, or, where that is missing or
+    comes after another header, after the base64 lines that follow."""
+    last = F.replace(F.substring(text, start + 1, end - start), F.lit("-----BEGIN"), F.lit("-----END"))
+    at, other = F.position(last, text, end + 1), F.position(F.lit("-----BEGIN "), text, end + 1)
+    lines = F.length(F.regexp_extract(F.substring(text, end + 1, F.lit(2147483647)), KEY_LINES, 0))
+    return F.when((at > 0) & ((other == 0) | (at < other)), at - 1 + F.length(last)).otherwise(end + lines)
+
+
 def _joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
