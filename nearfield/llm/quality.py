@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import documents, durable, word_array, written
 
 SYMBOLS = "#*$%&|<>"
-MIN_WORDS, MIN_ROWS, STEPS, CUT = 50, 200, 4, 40.0
+MIN_WORDS, MIN_ROWS, STEPS, CUT = 50, 20, 4, 40.0
+#: MIN_ROWS: half of 20 texts are ten for the covariance of four statistics, which FLOOR keeps regular.
 #: Least spread of each statistic, in its own unit: a group that never repeats a line must not reject one that does.
 #: CUT is the 4e-8 tail of chi-square with four degrees, as clean texts are not quite Gaussian.
 FLOOR = (0.05, 0.04, 0.12, 0.14)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from nearfield.llm import html, jaccard, quality, registry, substrings, suffixes, urls
 
@@ -114,6 +115,19 @@ def test_quality_counts_and_verdicts(spark, sf):
     assert sum(r["kept"] for r in usable) >= 0.99 * len(usable)
 
 
+def test_quality_of_a_small_table(spark):
+    rows = {r["doc_id"]: r for r in quality.query(spark, SMALL).collect() if not r["base_failed"]}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r["doc_id"] in rows}
+    assert len(rows) < 200 and 0 in labels.values()
+    assert all(rows[i]["kept"] == bool(q) for i, q in labels.items())
+    # 20 texts have an estimate, 19 have none
+    keep = sorted(i for i, q in labels.items() if q)[:19] + [min(i for i, q in labels.items() if not q)]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter(F.col("doc_id").isin(keep))
+    assert [r["distance"] is None for r in quality.judge(docs, ["doc_id"]).collect()] == [False] * 20
+    few = quality.judge(docs.filter(F.col("doc_id") != keep[0]), ["doc_id"]).collect()
+    assert len(few) == 19 and all(r["distance"] is None and r["kept"] for r in few)
+
+
 def test_html_against_the_known_layout(spark, sf):
     import html as h
 
