@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from nearfield.llm.common import durable
 from nearfield.llm.urls import parts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CLASS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CONTENT = re.compile(r"<(?:html|body|main|article)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 # Elements by what they mean for the text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -39,21 +41,82 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu script style noscript template iframe svg canvas object audio video textarea title".split())
 MAIN = frozenset(["article", "main"])
+WHOLE = frozenset(["html", "body", "main"])
 FURNITURE = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar widget cookie cookies consent notice popup modal overlay newsletter subscribe share social comment comments disqus related".split())
+#: Names of several words; others that merely hold a word of FURNITURE (has-sidebar, section-header, related-work) say nothing.
+COMPOUND = frozenset(
+    "site-header page-header main-header global-header site-footer page-footer main-footer global-footer site-nav main-nav top-nav bottom-nav side-nav page-nav post-nav post-navigation primary-nav primary-navigation main-navigation site-navigation nav-bar nav-menu main-menu top-menu side-menu menu-bar"
+    " left-sidebar right-sidebar sidebar-left sidebar-right main-sidebar side-bar ad-banner ad-slot ad-container ad-wrapper ad-unit ad-box ad-block google-ad banner-ad cookie-banner cookie-notice cookie-consent cookie-bar cookie-popup consent-banner newsletter-signup newsletter-form newsletter-box"
+    " social-share social-links social-icons social-media share-buttons share-links share-bar comment-list comments-area comments-section comment-form comment-respond related-posts related-articles related-links related-content promo-box promo-banner sponsored-content modal-dialog popup-overlay breadcrumb-nav breadcrumb-list".split()
+)
 
 
 #: Bits of a table of subsequences that is held at once (32 MB).
 TABLE_BITS = 1 << 28
 
 
-def _furniture(attributes: str) -> bool:
+def _furniture(attributes: str, main: bool) -> bool:
+    """Whether a whole class, id or role says so.  A header inside article or main is the article's own."""
     for m in _CLASS.finditer(attributes):
-        for word in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in FURNITURE or word == "complementary" or word == "contentinfo":
+        for word in (m[1] or m[2] or m[3] or "").lower().replace("_", "-").split():
+            if word in COMPOUND or word == "complementary" or word == "contentinfo" or (word in FURNITURE and not (main and word == "header")):
                 return True
     return False
 
 
+def _end(stack: list[tuple], name: str) -> None:
+    """An end tag closes what is open inside its element; without a start tag it closes nothing."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == name:
+            if name not in INLINE or all(x[0] in INLINE for x in stack[i + 1 :]):
+                del stack[i:]
+            break
+
+
+def _implied(stack: list[tuple], name: str) -> None:
+    """A paragraph or list item ends the one before it."""
+    if name == "p" or name == "li":
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == name:
+                del stack[i:]
+                break
+            if stack[i][0] not in INLINE:
+                break
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _holders(page: str) -> set[int]:
+    """Places after the start tags of the elements that contain the body, a main or, of the page's articles, every one:
+    they hold the page's content.  (Comments and teasers are articles beside or in another one.)"""
+    held: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    around: Counter[int] = Counter()
+    total = at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            _end(stack, name)
+        elif name in RAW:
+            at = _raw_end(page, name, at)
+        else:
+            _implied(stack, name)
+            if name in WHOLE:
+                held.update(x[1] for x in stack)
+            if name in MAIN:
+                total += 1
+                around.update(x[1] for x in stack)
+            if name not in VOID and not m[3].endswith("/"):
+                stack.append((name, at))
+    return held | {x for x, n in around.items() if n == total}
+
+
 def lines(page: str | None) -> list[tuple[str, bool]]:
     """(text, main) of each block outside the elements that are furniture by name; main: inside article or main."""
     out: list[tuple[str, bool]] = []
@@ -61,6 +124,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         return out
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
     now: list[str] = []
+    holders: set[int] | None = None
     dropped = main = False
     at = 0
 
@@ -81,29 +145,20 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if name not in INLINE:
             flush()
         if m[1]:
-            # an end tag closes what is open inside its element; without a start tag it closes nothing
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in INLINE and any(x[0] not in INLINE for x in stack[i + 1 :]):
-                        break
-                    del stack[i:]
-                    break
+            _end(stack, name)
         else:
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = _raw_end(page, name, at)
                 continue
-            if name == "p" or name == "li":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            _implied(stack, name)
             if name not in VOID and not m[3].endswith("/"):
                 inside = name in MAIN
                 header = name == "header" and not main
-                stack.append((name, dropped or name in DROPPED or header or _furniture(m[3]), main or inside))
+                by_class = not dropped and not inside and name not in WHOLE and _furniture(m[3], main)
+                if by_class and _CONTENT.search(page, at):
+                    holders = _holders(page) if holders is None else holders
+                    by_class = at not in holders
+                stack.append((name, dropped or name in DROPPED or header or by_class, main or inside))
         dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     if not dropped and at < len(page):
         now.append(page[at:])

@@ -120,6 +120,23 @@ def test_chat_edges(spark):
     assert chat.turns(d).count() == 6 and chat.conversations(d.limit(0)).count() == 0
 
 
+def test_only_furniture_is_dropped():
+    text = lambda page: " ".join(t for t, _ in html.lines(page))
+    for page in (
+        '<html class="js no-banner"><body class="has-sidebar header"><p>x</p><p>y</p>',
+        '<main class="page no-sidebar">x<p>y</main>',
+        '<article class="post comments-open related">x<p>y</article>',
+        '<div id="content-with-sidebar"><h1>x</h1><p>y</div>',
+        '<div class="overlay"><script>"<article>"</script><div><article>x<p>y</article></div></div>',
+        '<div class="widget"><div role="banner"><body>x<p>y</body></div></div>',
+        '<article><div class="section-header">x</div><div class="related-work">y</div></article>',
+        '<article><div class="header">x</div><div data-id="comments">y</div></article>',
+        '<p>x</p><div class="nav">m</div><div class="related">m<article>m</article></div><article>y<div id="comments">m<article>m</article></div></article>',
+        '<div class="site-header">m</div><div class="a Sidebar">m</div><div class="cookie_banner">m</div><article>x<p>y</article><div role=contentinfo>m</div>',
+    ):
+        assert text(page) == "x y", page
+
+
 def test_pages_edges(spark):
     page = "<nav>Menu</nav><div>Shared line</div><article><h1>T &amp; x</h1><p>Own <b>te</b>xt %d<br>\n two<div class='comments'>c</div></article><footer>f"
     rows = [(1, "http://H.com/a/1", page % 1), (2, "http://h.com/a/2", page % 2), (3, None, None), (None, "no host", "<p>x"), (1, "http://H.com/a/1", page % 1), (5, "http://h.com/b", "")]
