@@ -1,7 +1,7 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page is cut into lines (its blocks' texts).  Pages are put in order of host and path, each is paired with those
-next to it on its host (the nearest URLs in that order), lines are aligned by their longest common subsequence, and
+A page is cut into lines (its blocks' texts).  Pages are put in order of host, path and query string, each is paired
+with the nearest before and after it on its host that have another path or query string and other content, lines are aligned by their longest common subsequence, and
 shared lines are deleted as the site's furniture.  Two guards make that right where differencing alone is not (the
 README has figures): lines inside ``article`` or ``main`` are never deleted for being shared, since mirrors of an
 article share all of it; and lines inside elements that say what they are (``nav``, ``footer``, ``class="ad"``...)
@@ -10,8 +10,8 @@ are deleted even where the neighbour has other ones.
 The order is one range-partitioned sort of narrow rows (line hashes, not texts), so a host with a third of all
 pages is spread over many tasks; each task streams through its rows and knows the rows at its neighbours' edges.
 
-Edge cases: NULL or empty html has an empty text; NULL URLs have an empty host and path; pages that repeat a URL
-go in order of their content; an empty table gives an empty result; other columns are ignored.
+Edge cases: NULL or empty html has an empty text; NULL URLs have an empty host and path; pages that repeat a
+URL go in order of their content and are not compared with each other, repeated rows count once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from nearfield.llm.urls import parts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_QUERY = re.compile(r"[^?#]*(\?[^#]*)?")
 _CONTENT = re.compile(r"<(?:html|body|main|article)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 # Elements by what they mean for the text.
@@ -222,50 +223,93 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return hit
 
 
-def shared_lines(narrow: DataFrame) -> DataFrame:
-    """(page, shared) for narrow(page, host, path, lines): which lines a neighbour on the host has in order too."""
-    spark = narrow.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = durable(narrow.repartitionByRange(n, "host", "path", "page").sortWithinPartitions("host", "path", "page").withColumn("_p", F.spark_partition_id()))
-    row = F.struct("host", "path", "page", "lines")
-    # two rows a partition: what its neighbours need of it
-    edges = ordered.groupBy("_p").agg(F.min_by(row, F.struct("host", "path", "page")).alias("first"), F.max_by(row, F.struct("host", "path", "page")).alias("last")).orderBy("_p").collect()
-    before, after = {}, {}
-    for left, right in zip(edges, edges[1:]):
-        before[right["_p"]], after[left["_p"]] = tuple(left["last"]), tuple(right["first"])
-    sent = spark.sparkContext.broadcast((before, after))
+_Row = tuple[str, tuple[str, str], bytes, np.ndarray]  # host, path and query string, content, lines
+
+
+def _partner(near: list[_Row], url: tuple[str, str], content: bytes) -> _Row | None:
+    """The nearest of the rows with another URL and other content: a copy tells nothing of what a site repeats."""
+    return next((r for r in near if r[1] != url and r[2] != content), None)
+
+
+def _nearer(near: list[_Row], row: _Row) -> list[_Row]:
+    """The rows, nearest first, that can be a later row's partner once row has passed: those of its host that are the
+    nearest with another URL and content for some URL and content (a handful)."""
+    out = [row]
+    for r in near:
+        if r[0] != row[0]:
+            break
+        taken = [(u, c) for u in [None, *{x[1] for x in out}] for c in [None, *{x[2] for x in out}] if all(x[1] == u or x[2] == c for x in out)]
+        if any(r[1] != u and r[2] != c for u, c in taken):
+            out.append(r)
+    return out
+
+
+_ORDER = ("host", "path", "query", "content", "page")
+
+
+def _packed(p: int | None, near: list[_Row]) -> list[tuple]:
+    return [(p, i, host, *url, content, x) for i, (host, url, content, x) in enumerate(near)]
+
+
+def _passed(ordered: DataFrame, back: bool) -> DataFrame:
+    """(page, shared) of each page and its partner before it in the order (back: after it)."""
+    ranked = ordered.sortWithinPartitions(*[F.col(c).desc() for c in _ORDER]) if back else ordered
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bytes, _Row]]:
+        for pdf in batches:
+            for p, page, h, u, q, c, x in zip(*[pdf[c] for c in ("_p", "page", "host", "path", "query", "content", "lines")], strict=True):
+                yield p, bytes(page), (h, (u, q), bytes(c), np.asarray(x, "i8"))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, near, out = None, [], []
+        for p, _, row in rows(batches):
+            if p != part:
+                out += _packed(part, near)
+                part, near = p, []
+            near = _nearer(near, row)
+        yield pd.DataFrame(out + _packed(part, near), columns=["p", "i", "host", "path", "query", "content", "lines"])
+
+    edges: dict[int, list[_Row]] = {}
+    for r in sorted(ranked.mapInPandas(ends, "p int, i int, host string, path string, query string, content binary, lines array<bigint>").collect(), key=lambda r: (r["p"], r["i"])):
+        edges.setdefault(r["p"], []).append((r["host"], (r["path"], r["query"]), bytes(r["content"]), np.asarray(r["lines"], "i8")))
+    before, near = {}, []
+    for p in sorted(edges, reverse=back):
+        before[p] = near
+        for row in edges[p][::-1]:
+            near = _nearer(near, row)
+    sent = ordered.sparkSession.sparkContext.broadcast(before)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, after = sent.value
-        one = lambda t: (t[0], t[1], bytes(t[2]), np.asarray(t[3], "i8"))
-        rows = ((p, (h, q, bytes(i), np.asarray(x, "i8"))) for pdf in batches for p, h, q, i, x in zip(pdf["_p"], pdf["host"], pdf["path"], pdf["page"], pdf["lines"], strict=True))
-        out: list[tuple[bytes, np.ndarray]] = []
-        prev = mine = None
-        part = None
-
-        def settle(prev, mine, after_row) -> None:
-            hit = np.zeros(len(mine[3]), bool)
-            for other in (prev, after_row):
-                if other is not None and other[0] == mine[0] and other[1] != mine[1]:
-                    hit |= common(mine[3], other[3])
-            out.append((mine[2], hit))
-
-        for p, row in rows:
-            if mine is None:
-                part, prev = p, one(before[p]) if p in before else None
-            else:
-                settle(prev, mine, row)
-                prev = mine
-            mine = row
+        part, near, last, out = None, [], None, []
+        for p, page, row in rows(batches):
+            if p != part:
+                part, near = p, sent.value[p]
+            if page == last:  # a repeated page
+                continue
+            last = page
+            near = near if near and near[0][0] == row[0] else []
+            other = _partner(near, row[1], row[2])
+            if other is not None and (hit := common(row[3], other[3])).any():
+                out.append((page, hit))
+            near = _nearer(near, row)
             if len(out) >= 1000:
                 yield pd.DataFrame(out, columns=["page", "shared"])
                 out = []
-        if mine is not None:
-            settle(prev, mine, one(after[part]) if part in after else None)
         if out:
             yield pd.DataFrame(out, columns=["page", "shared"])
 
-    return ordered.mapInPandas(run, "page binary, shared array<boolean>")
+    return ranked.mapInPandas(run, "page binary, shared array<boolean>")
+
+
+def shared_lines(narrow: DataFrame) -> DataFrame:
+    """(page, shared) for narrow(page, host, path, query, content, lines): which lines of a page the nearest page before or
+    after it on the host, of another URL and with other content, has in order too; pages without any are left out.
+    Repeated pages count once."""
+    n = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = durable(narrow.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).withColumn("_p", F.spark_partition_id()))
+    both = _passed(ordered, False).unionByName(_passed(ordered, True))
+    either = F.reduce(F.collect_list("shared"), F.array().cast("array<boolean>"), lambda s, x: F.zip_with(s, x, lambda a, b: F.coalesce(a, F.lit(False)) | b))
+    return both.groupBy("page").agg(either.alias("shared"))
 
 
 def _page_key(url: str | None, page: str | None) -> bytes:
@@ -282,11 +326,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             got = []
             for url, page in zip(pdf["_url"], pdf["_html"], strict=True):
                 host, path = parts(url)
-                got.append((_page_key(url, page), host, path, np.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, main in cut(page) if not main], "i8")))
-            yield pd.DataFrame(got, columns=["page", "host", "path", "lines"])
+                got.append((_page_key(url, page), host, path, _QUERY.match(url or "")[1] or "", _page_key(None, page), np.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, main in cut(page) if not main], "i8")))
+            yield pd.DataFrame(got, columns=["page", "host", "path", "query", "content", "lines"])
 
-    rows = base.mapInPandas(narrow, "page binary, host string, path string, lines array<bigint>")
-    marks = shared_lines(rows).filter(F.exists("shared", lambda x: x)).dropDuplicates(["page"])
+    rows = base.mapInPandas(narrow, "page binary, host string, path string, query string, content binary, lines array<bigint>")
+    marks = shared_lines(rows)
     kind = pages.schema[id_col].dataType
     keyed = base.mapInPandas(_texts(cut), T.StructType([T.StructField("_id", kind), T.StructField("_url", T.StringType()), T.StructField("page", T.BinaryType()), T.StructField("t", T.ArrayType(T.StructType([T.StructField("x", T.StringType()), T.StructField("main", T.BooleanType())])))]))
     # lines outside article and main are numbered; marked ones go

@@ -1,5 +1,8 @@
 """Nulls in every column, empty and long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +140,43 @@ def test_only_furniture_is_dropped():
         assert text(page) == "x y", page
 
 
+def test_pages_of_one_path_are_compared(spark):
+    page = "<div>Menu</div><p>Own %s</p><div>Imprint</div>"
+    rows = [(i, f"http://h.com/index.php?id={i}", page % i) for i in range(20)]
+    # copies under other query strings, and versions of one URL, are not taken for furniture
+    rows += [(50 + i, f"http://k.com/a?utm={i}", page % "k") for i in range(4)] + [(60 + i, "http://k.com/b", f"<p>v{i}</p>" + page % "b") for i in range(3)]
+    rows += [(70, "http://one.com/a?x=1", page % "o"), (71, "http://one.com/a?x=2", page % "o"), (72, "https://one.com/a?x=2#f", f"{page % 'o'}<p>new")]
+    want = {i: f"Own {i}" for i in range(20)} | {50 + i: "Own k" for i in range(4)} | {60 + i: f"v{i} Own b" for i in range(3)}
+    alone = "Menu Own o Imprint"  # 70 is a copy of it, 72 another version of its URL
+    d = spark.createDataFrame(rows + rows[5:9] * 3 + rows[20:22], "page_id long, url string, html string")
+    got = [(r["page_id"], r["text"]) for r in html.extract(d).collect()]
+    assert len(got) == d.count() and len(set(got)) == len(rows)
+    assert {i: t for i, t in got if i < 70} == want
+    assert dict(got)[71] == alone
+
+
+def test_partners_whatever_the_partitions(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        u, c = (f"/{rng.randrange(4)}", f"?{rng.randrange(3)}"), rng.randrange(3)
+        rows.append((f"{i:03}".encode(), rng.choice("gh"), *u, bytes([c]), [rng.randrange(4) for _ in range(3)] + [9]))
+    order = sorted(rows, key=lambda r: (*r[1:5], r[0]))
+    want = {}
+    for way in (order, order[::-1]):
+        for i, r in enumerate(way):
+            other = next((x for x in way[:i][::-1] if x[1] == r[1] and x[2:4] != r[2:4] and x[4] != r[4]), None)
+            hit = html.common(np.array(r[5]), np.array(other[5])) if other else np.zeros(4, bool)
+            want[r[0]] = want.get(r[0], np.zeros(4, bool)) | hit
+    d = spark.createDataFrame(rows, "page binary, host string, path string, query string, content binary, lines array<bigint>")
+    for n in ("1", "8", "40"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {bytes(r["page"]): r["shared"] for r in html.shared_lines(d).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert got == {k: v.tolist() for k, v in want.items() if v.any()}, n
+
+
 def test_pages_edges(spark):
     page = "<nav>Menu</nav><div>Shared line</div><article><h1>T &amp; x</h1><p>Own <b>te</b>xt %d<br>\n two<div class='comments'>c</div></article><footer>f"
     rows = [(1, "http://H.com/a/1", page % 1), (2, "http://h.com/a/2", page % 2), (3, None, None), (None, "no host", "<p>x"), (1, "http://H.com/a/1", page % 1), (5, "http://h.com/b", "")]
