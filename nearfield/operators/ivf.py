@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.errors import VectorError
+from nearfield.functions import scalar
 from nearfield.operators import rescore
 from nearfield.plans import kernels
 from nearfield.plans.knn import Knn
@@ -109,6 +110,21 @@ class IvfIndex:
             return rescore.search(knn, query, k, quantizer, oversample)
         return knn.run(query, k)
 
+    def batch(self, rows: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
+        """(query_id, id, distance, rank) of the k nearest in each query's probed cells, for queries(query_id, query).
+        The queries' cells are joined with the rows' cells, so that any number of queries is one plan."""
+
+        def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(cell=[self.probes(q, nprobe) for q in pdf["query"]])
+
+        fields = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
+        asked = queries.filter("query is not null").mapInPandas(cells, f"{fields}, cell array<int>").withColumn("cell", F.explode("cell"))
+        d = scalar.distance(F.col(self.column), F.col("query"), "float32", self.metric)
+        near = rows.join(asked, "cell").select("query_id", self.id_col, d.alias("distance")).filter("distance is not null")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", self.id_col))
+        return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
     def set_centroid(self, i: int, vector: list[float]) -> None:
         self.centroids[i] = vector
 

@@ -1,5 +1,6 @@
 import pytest
 
+from nearfield.operators.ivf import IvfIndex
 from nearfield.queries import ORACLE, QUERIES
 from tests.compare import assert_same
 
@@ -13,3 +14,18 @@ def test_recall_queries(spark, sf):
     for name, least in (("ivf_trained_recall", 0.5), ("graph_recall", 0.8)):
         rows = QUERIES[name](spark, sf).collect()
         assert sum(r["recall"] for r in rows) / len(rows) >= least, name
+
+
+@pytest.mark.parametrize("name", ["ivf_trained_recall", "graph_recall"])
+def test_recall_queries_ask_every_fiftieth_row(name, spark, sf):
+    asked = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()}
+    assert {r["query_id"] for r in QUERIES[name](spark, sf).collect()} == asked
+
+
+def test_ivf_batch_finds_what_single_searches_find(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    ivf = IvfIndex.train(e, 16, nprobe=6)
+    cells = ivf.assign(e).cache()
+    asked = e.filter("vec_id in (0, 50, 333)").selectExpr("vec_id as query_id", "embedding as query")
+    got = {(r["query_id"], r["vec_id"]) for r in ivf.batch(cells, asked, 10).collect()}
+    assert got == {(q["query_id"], r["vec_id"]) for q in asked.collect() for r in ivf.search(cells, q["query"], 10).collect()}
