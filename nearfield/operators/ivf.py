@@ -106,8 +106,8 @@ class IvfIndex:
         """(id, distance) of the k nearest in the probed cells.  Predicates come first.  With a quantizer the cells
         are scanned by code and k * oversample candidates get exact distances."""
         knn = Knn(rows.filter(F.col("cell").isin(self.probes(query, nprobe))), self.column, self.id_col, "float32", self.metric, predicates, bounds)
-        if quantizer and (oversample > 1 or exact_distance):
-            return rescore.search(knn, query, k, quantizer, oversample)
+        if quantizer and quantizer != "none" and (oversample > 1 or exact_distance):
+            return rescore.search(knn, query, k, {"binary": "bit"}.get(quantizer, quantizer), oversample)  # as the table option says
         return knn.run(query, k)
 
     def batch(self, rows: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:

@@ -29,3 +29,12 @@ def test_ivf_batch_finds_what_single_searches_find(spark, sf):
     asked = e.filter("vec_id in (0, 50, 333)").selectExpr("vec_id as query_id", "embedding as query")
     got = {(r["query_id"], r["vec_id"]) for r in ivf.batch(cells, asked, 10).collect()}
     assert got == {(q["query_id"], r["vec_id"]) for q in asked.collect() for r in ivf.search(cells, q["query"], 10).collect()}
+
+
+def test_ivf_takes_the_name_binary(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    ivf = IvfIndex.train(e, 4, nprobe=4)
+    q = e.filter("vec_id = 0").first()["embedding"]
+    one = lambda kind: [tuple(r) for r in ivf.search(ivf.assign(e), q, 10, quantizer=kind, oversample=8).collect()]
+    assert one("binary") == one("bit") and len(one("bit")) == 10
+    assert one("none") == one(None)
