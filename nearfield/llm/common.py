@@ -1,42 +1,110 @@
-"""What the operators share: durable intermediate results and name-safe columns."""
+"""What the operators share: durable intermediate results, name-safe columns, and Arrow passes that leave ids alone."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: White space as the contracts count it: space, and the control characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
-DEFAULT_DIR = "/tmp/nearfield-checkpoints"
+#: Bytes of an Arrow batch that are Python objects at a time (a longer text is alone).
+SLICE_BYTES = 16 << 20
+#: Rows of a table that is small enough to be sent to every task.
+BROADCAST_ROWS = 100_000
+
+_made: dict[str, list[str]] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where it is unset a local session (tests) gets a temporary one; a cluster
+    session has none that all machines see, and raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder of spark.checkpoint.dir, so that a lost executor costs a reread.
-    Only where that setting is absent (local tests) a folder of our own is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(DEFAULT_DIR)
+    """df, computed once and written to the shared folder, so that a lost executor costs a reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the folder of spark.checkpoint.dir and read again: unlike durable(), it is compressed,
-    and later reads take the columns they need."""
+    """df, written as Parquet to the shared folder and read again: unlike durable(), it is compressed, and later reads take
+    the columns they need.  release() deletes it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or DEFAULT_DIR
-    out = f"{base}/{name}/{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
     df.write.parquet(out)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(out)
     return spark.read.parquet(out)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The folders that written() has made in this application and release() has not deleted."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Deletes folders of written(), for a caller that knows that nothing reads them any more."""
+    for out in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made[spark.sparkContext.applicationId].remove(out)
+
+
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """durable(df) in partitions of about so many rows at least: small tables then cost a shuffle few files."""
     held = durable(df)
     return held.coalesce(max(1, held.count() // rows + 1))
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (durable), marked for broadcast if it is counted to have at most so many rows; else Spark plans its join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES (one row at least)."""
+    for b in batches:
+        step = max(1, b.num_rows * SLICE_BYTES // max(b.nbytes, 1))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
+def values(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The slices as lists, one a column."""
+    for part in sliced(batches):
+        yield [c.to_pylist() for c in part.columns]
+
+
+def beside(df: DataFrame, keep: Sequence[str], take: Sequence[str], made: str, make: Callable[..., Sequence[Sequence]]) -> DataFrame:
+    """keep's columns as they are, and those of the DDL ``made`` that ``make`` gives (a sequence each) for lists of take's
+    values.  One pass in Arrow batches, of which SLICE_BYTES are Python objects at a time.  Kept values never leave
+    Arrow, so that a long beside a NULL stays what it is."""
+    own = T._parse_datatype_string(made)
+    n, kinds = len(keep), [to_arrow_type(f.dataType) for f in own.fields]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], *[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(take)])
+    schema = T.StructType([*rows.schema.fields[:n], *[T.StructField(f"_m{i}", f.dataType) for i, f in enumerate(own.fields)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            got = make(*[c.to_pylist() for c in part.columns[n:]])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *[pa.array(x, k) for x, k in zip(got, kinds, strict=True)]], schema.names)
+
+    return rows.mapInArrow(run, schema).toDF(*keep, *own.names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -52,8 +120,3 @@ def word_array(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Arrow batches of texts by bytes, so that a run of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -5,26 +5,32 @@ Texts are lower-cased (A-Z) and cut into words of digits, ASCII letters and any
 numbers; each text runs through it once, and hits map back to code-point spans of the original text.
 
 The benchmark is the stated query set: it is read in blocks of BLOCK_WORDS words, each with an automaton of bounded
-size that every Python worker builds once; a block is one pass over the texts, and the blocks' hits are combined.
-Edge cases: NULL or empty texts and items have no words; items that repeat count once by id; a NULL id is written
-as an empty string; an empty table gives an empty result; columns that are not named are ignored.
+size that every Python worker builds once.  A worker holds HELD of them and runs each text through all; a larger
+benchmark takes a pass over the texts for each HELD blocks.  Hits are the same however it is cut, since a window lies in
+one item.
+
+Edge cases: NULL or empty texts and items have no words; items that repeat count once by id; a NULL item id is written
+as an empty string; document ids of any type, NULL among them, stay as they are; a very long text is scanned whole, alone
+in its slice of a batch; rows that repeat get equal results; an empty table gives an empty result; an empty benchmark
+hits nothing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents
+from nearfield.llm.common import beside, documents, durable
+from nearfield.llm.rowwise import keep_rows
 
 WINDOW = 10
-BLOCK_WORDS = 200_000
+#: Words of a block of items, and automata that a worker holds.
+BLOCK_WORDS, HELD = 100_000, 4
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -56,7 +62,7 @@ class Automaton:
 
     def scan(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the items with occurring windows."""
-        hit, items = np.zeros(len(found) + 1, "i4"), set()
+        hit, items = np.zeros(len(found) + 1, "i8"), set()
         if self.size:
             get = self.number.get
             for end, (n, of) in self.machine.iter(tuple([get(w, 0) for w in found])):
@@ -84,98 +90,86 @@ _held: dict[tuple[str, int], Automaton] = {}
 
 
 def _machine(name: str, items, n: int) -> Automaton:
-    """The automaton of a broadcast block, built once in each Python worker."""
+    """The automaton of a broadcast block, built once in each Python worker, which holds HELD of them."""
     if (name, n) not in _held:
-        _held.clear()
+        while len(_held) >= HELD:
+            _held.pop(next(iter(_held)))
         _held[name, n] = Automaton(items.value, n)
     return _held[name, n]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> list[list[tuple[str, str]]]:
-    """The (id, text) rows in blocks of about BLOCK_WORDS words; one empty block if there are none."""
-    blocks, block, size = [], [], 0
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[list[tuple[str, str]]]:
+    """The (id, text) rows in blocks of about BLOCK_WORDS words; one empty block if there are none.  They come to the
+    driver one partition at a time, and a block is let go once it is sent."""
+    block, size, none = [], 0, True
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.coalesce(F.col(item_text), F.lit(""))).distinct()
     for item, text in rows.toLocalIterator():
         block.append((item, text))
         size += len(words(text))
         if size >= BLOCK_WORDS:
-            blocks.append(block)
-            block, size = [], 0
-    return [*blocks, block] if block or not blocks else blocks
+            yield block
+            block, size, none = [], 0, False
+    if block or none:
+        yield block
+
+
+def _sent(spark, blocks: Iterator[list], n: int) -> list[list[tuple]]:
+    """The broadcast blocks by rounds of HELD: a round is one pass over the texts, and its automata fit a worker."""
+    sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b), n) for b in blocks]
+    return [sent[i : i + HELD] for i in range(0, len(sent), HELD)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items, spans) of every text; spans are code points of the original.
-
-    Blocks of items go to the workers one broadcast at a time.  With one block (200,000 words) it is one pass.
-    """
-    spark, blocks = docs.sparkSession, item_blocks(benchmark, item_col, item_text)
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
-
-    def one(block: list, frame: DataFrame, source: str) -> DataFrame:
-        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            machine = _machine(name, sent, n)
-            for pdf in batches:
-                got = []
-                for ident, text in zip(pdf[id_col], pdf[source], strict=True):
-                    found = words(text)
-                    hit, items = machine.scan(found)
-                    many = int(hit.sum())
-                    got.append((ident, len(found), many, sorted(items), spans(text, hit) if many else []))
-                out = pd.DataFrame(got, columns=[id_col, "n_words", "n_hit", "items", "spans"])
-                out[id_col] = pdf[id_col].to_numpy()
-                yield out
-
-        return frame.mapInPandas(run, schema)
-
-    base = docs.select(F.col(id_col), F.col(text_col))
-    if len(blocks) == 1:
-        return one(blocks[0], base, text_col)
-    # Several blocks: a text's hit words must be united, so that each row carries what earlier blocks have found.
-    return _many(base, blocks, one, id_col, text_col, spark, n, kind)
-
-
-def _many(base, blocks, one, id_col, text_col, spark, n, kind) -> DataFrame:
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:  # an automaton at a time over the batch: memory stays that of one block
-            found = [words(t) for t in pdf[text_col]]
-            hits, items = [np.zeros(len(w), bool) for w in found], [set() for _ in found]
-            for block in sent:
-                machine = Automaton(block.value, n)
-                for i, w in enumerate(found):
-                    hit, of = machine.scan(w)
-                    hits[i] |= hit
-                    items[i] |= of
-            rows = [(len(w), int(h.sum()), sorted(of), spans(t, h) if h.any() else []) for w, h, of, t in zip(found, hits, items, pdf[text_col], strict=True)]
-            out = pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
-            out.insert(0, id_col, pdf[id_col].to_numpy())
-            yield out
-
-    return base.mapInPandas(run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>")
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit word, in their own columns.  A map-only pass: the verdict travels with the row."""
-    from nearfield.llm.rowwise import keep_rows
-
-    spark, blocks = docs.sparkSession, item_blocks(benchmark)
-    sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks]
-
-    def clean(texts: pd.Series) -> np.ndarray:
-        kept = np.ones(len(texts), bool)
-        found = [words(t) for t in texts]
-        for name, block in sent:  # an automaton at a time
-            machine = _machine(name, block, WINDOW)
-            for i in np.flatnonzero(kept):
-                kept[i] = not machine.scan(found[i])[0].any()
-        return kept
-
-    return keep_rows(docs, "text", clean)
+    """(id, n_words, n_hit, items, spans) of every text; spans are code points of the original.  Up to HELD blocks of
+    items take one pass; further ones take a pass for each HELD, in which a row carries its hit words so far."""
+    rounds = _sent(docs.sparkSession, item_blocks(benchmark, item_col, item_text), n)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items"))
+
+    def further(blocks: list[tuple]) -> Callable:
+        def run(texts: list, hits: list, items: list) -> tuple[list, list]:
+            got = [_found(words(t), blocks, h, i) for t, h, i in zip(texts, hits, items, strict=True)]
+            return [np.packbits(h).tobytes() for h, _ in got], [sorted(i) for _, i in got]
+
+        return run
+
+    def last(blocks: list[tuple]) -> Callable:
+        def run(texts: list, hits: list, items: list) -> list[list]:
+            out = []
+            for text, before, of in zip(texts, hits, items, strict=True):
+                hit, of = _found(words(text), blocks, before, of)
+                many = int(hit.sum())
+                out.append((len(hit), many, sorted(of), [{"start": a, "end": b} for a, b in spans(text, hit)] if many else []))
+            return [list(x) for x in zip(*out)]
+
+        return run
+
+    for blocks in rounds[:-1]:
+        rows = durable(beside(rows, ["_id", "_text"], ["_text", "_hit", "_items"], "_hit binary, _items array<string>", further(blocks)))
+    made = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
+    return beside(rows, ["_id"], ["_text", "_hit", "_items"], made, last(rounds[-1])).withColumnRenamed("_id", id_col)
+
+
+def _found(found: list[bytes], blocks: list[tuple], before: bytes | None, items: list[str]) -> tuple[np.ndarray, set[str]]:
+    """Which words are hit and the items, by these blocks and before."""
+    hit = np.unpackbits(np.frombuffer(before, "u1"))[: len(found)].astype(bool) if before is not None else np.zeros(len(found), bool)
+    every = set(items)
+    for name, block, n in blocks:
+        own, of = _machine(name, block, n).scan(found)
+        hit |= own
+        every |= of
+    return hit, every
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without any hit word, in their own columns.  A map-only pass for each round of blocks: the verdict
+    travels with the row.  NULL and empty texts have no words and stay; columns of any name stay as they are."""
+    for blocks in _sent(docs.sparkSession, item_blocks(benchmark, item_col, item_text), WINDOW):
+
+        def clean(texts: list[str | None], blocks: list[tuple] = blocks) -> list[bool]:
+            return [not any(_machine(name, block, n).scan(found)[0].any() for name, block, n in blocks) for found in map(words, texts)]
+
+        docs = keep_rows(docs, text_col, clean)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

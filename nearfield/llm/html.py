@@ -1,17 +1,19 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page is cut into lines (its blocks' texts).  Pages are put in order of host, path and query string, each is paired
-with the nearest before and after it on its host that have another path or query string and other content, lines are aligned by their longest common subsequence, and
-shared lines are deleted as the site's furniture.  Two guards make that right where differencing alone is not (the
-README has figures): lines inside ``article`` or ``main`` are never deleted for being shared, since mirrors of an
-article share all of it; and lines inside elements that say what they are (``nav``, ``footer``, ``class="ad"``...)
-are deleted even where the neighbour has other ones.
+A page is cut into lines (its blocks' texts), furniture included.  Pages are put in order of host, path and query
+string; each is compared with the nearest before and after it on its host that has another path or query string and
+other content, lines are aligned by their longest common subsequence, and shared lines are deleted.  Structure decides
+where differencing cannot (the README has figures): a shared line inside ``article`` or ``main`` stays, since mirrors of
+an article share all of it; and a line inside an element that says what it is (``nav``, ``footer``, ``class="ad"``...)
+goes even where the neighbours have other ones.
 
 The order is one range-partitioned sort of narrow rows (line hashes, not texts), so a host with a third of all
 pages is spread over many tasks; each task streams through its rows and knows the rows at its neighbours' edges.
 
-Edge cases: NULL or empty html has an empty text; NULL URLs have an empty host and path; pages that repeat a
-URL go in order of their content and are not compared with each other, repeated rows count once; an empty table gives an empty result; other columns are ignored.
+Edge cases: NULL or empty html has an empty text; NULL URLs have an empty host and path; pages that repeat a URL go in
+order of their content and are not compared with each other, repeated rows count once and get equal texts; ids of any
+type, NULL among them, stay as they are; very long pages are aligned in bounded memory; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from nearfield.llm.common import durable
+from nearfield.llm.common import beside, durable
 from nearfield.llm.urls import parts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -118,27 +119,29 @@ def _holders(page: str) -> set[int]:
     return held | {x for x, n in around.items() if n == total}
 
 
-def lines(page: str | None) -> list[tuple[str, bool]]:
-    """(text, main) of each block outside the elements that are furniture by name; main: inside article or main."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, main, named) of each block: main is inside article or main, named inside an element that is furniture by
+    name.  Named words within a block are a line of their own behind it."""
+    out: list[tuple[str, bool, bool]] = []
     if not page:
         return out
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
-    now: list[str] = []
+    stack: list[tuple[str, bool, bool]] = []  # name, named, main
+    now: tuple[list[str], list[str]] = ([], [])  # the block's own words, and named ones
     holders: set[int] | None = None
-    dropped = main = False
+    named = main = False
     at = 0
 
     def flush() -> None:
-        if now:
-            text = _SPACE.sub(" ", _html.unescape("".join(now))).strip(" ")
-            now.clear()
-            if text:
-                out.append((text, main))
+        for held, by_name in zip(now, (False, True)):
+            if held:
+                text = _SPACE.sub(" ", _html.unescape("".join(held))).strip(" ")
+                held.clear()
+                if text:
+                    out.append((text, main and not by_name, by_name))
 
     while m := _TOKEN.search(page, at):
-        if not dropped and m.start() > at:
-            now.append(page[at : m.start()])
+        if m.start() > at:
+            now[named].append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -155,14 +158,14 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             if name not in VOID and not m[3].endswith("/"):
                 inside = name in MAIN
                 header = name == "header" and not main
-                by_class = not dropped and not inside and name not in WHOLE and _furniture(m[3], main)
+                by_class = not named and not inside and name not in WHOLE and _furniture(m[3], main)
                 if by_class and _CONTENT.search(page, at):
                     holders = _holders(page) if holders is None else holders
                     by_class = at not in holders
-                stack.append((name, dropped or name in DROPPED or header or by_class, main or inside))
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-    if not dropped and at < len(page):
-        now.append(page[at:])
+                stack.append((name, named or name in DROPPED or header or by_class, main or inside))
+        named, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    if at < len(page):
+        now[named].append(page[at:])
     flush()
     return out
 
@@ -319,51 +322,36 @@ def _page_key(url: str | None, page: str | None) -> bytes:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", structure: bool = True) -> DataFrame:
     """(id, url, text, n_chars).  structure=False: differencing alone, without the two guards (for comparison)."""
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    cut = lines if structure else lambda h: [(t, False) for t, _ in _all_lines(h)]
-
-    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = []
-            for url, page in zip(pdf["_url"], pdf["_html"], strict=True):
-                host, path = parts(url)
-                got.append((_page_key(url, page), host, path, _QUERY.match(url or "")[1] or "", _page_key(None, page), np.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, main in cut(page) if not main], "i8")))
-            yield pd.DataFrame(got, columns=["page", "host", "path", "query", "content", "lines"])
-
-    rows = base.mapInPandas(narrow, "page binary, host string, path string, query string, content binary, lines array<bigint>")
-    marks = shared_lines(rows)
-    kind = pages.schema[id_col].dataType
-    keyed = base.mapInPandas(_texts(cut), T.StructType([T.StructField("_id", kind), T.StructField("_url", T.StringType()), T.StructField("page", T.BinaryType()), T.StructField("t", T.ArrayType(T.StructType([T.StructField("x", T.StringType()), T.StructField("main", T.BooleanType())])))]))
-    # lines outside article and main are numbered; marked ones go
-    joined = keyed.join(marks, "page", "left")
-    state = F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("out"))
-    step = lambda s, x: F.struct((s["i"] + F.when(x["main"], 0).otherwise(1)).alias("i"), F.when(x["main"] | ~F.coalesce(F.get("shared", s["i"]), F.lit(False)), F.concat(s["out"], F.array(x["x"]))).otherwise(s["out"]).alias("out"))
-    plain = F.array_join(F.transform("t", lambda x: x["x"]), " ")
-    text = F.when(F.col("shared").isNull(), plain).otherwise(F.array_join(F.aggregate("t", state, step, lambda s: s["out"]), " "))
+    cut = lines if structure else lambda page: [(t, False, False) for t, _, _ in lines(page)]
+
+    def keyed(urls: list, texts: list) -> list[list]:
+        out = []
+        for url, page in zip(urls, texts, strict=True):
+            host, path = parts(url)
+            hashes = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, main, _ in cut(page) if not main]
+            out.append((_page_key(url, page), host, path, _QUERY.match(url or "")[1] or "", _page_key(None, page), hashes))
+        return [list(x) for x in zip(*out)]
+
+    def kept(urls: list, texts: list) -> list[list]:
+        out: tuple[list, list] = ([], [])
+        for url, page in zip(urls, texts, strict=True):
+            own, at = [], 0
+            for text, main, named in cut(page):
+                if not named:
+                    own.append({"x": text, "at": -1 if main else at})
+                at += not main
+            out[0].append(_page_key(url, page))
+            out[1].append(own)
+        return list(out)
+
+    marks = shared_lines(beside(base, [], ["_url", "_html"], "page binary, host string, path string, query string, content binary, lines array<bigint>", keyed))
+    # lines outside article and main have a place in the marks; marked ones go
+    joined = beside(base, ["_id", "_url"], ["_url", "_html"], "page binary, t array<struct<x:string,at:int>>", kept).join(marks, "page", "left")
+    own = F.filter("t", lambda x: (x["at"] < 0) | ~F.coalesce(F.get("shared", x["at"]), F.lit(False)))
+    text = F.array_join(F.transform(F.when(F.col("shared").isNull(), F.col("t")).otherwise(own), lambda x: x["x"]), " ")
     out = joined.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-def _texts(cut):
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [(_page_key(u, h), [{"x": t, "main": m} for t, m in cut(h)]) for u, h in zip(pdf["_url"], pdf["_html"], strict=True)]
-            out = pd.DataFrame(got, columns=["page", "t"])
-            out.insert(0, "_url", pdf["_url"].to_numpy())
-            out.insert(0, "_id", pdf["_id"].to_numpy())
-            yield out
-
-    return texts
-
-
-def _all_lines(page: str | None) -> list[tuple[str, bool]]:
-    """Every block, furniture or not, but scripts and styles."""
-    if not page:
-        return []
-    text = re.sub(r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->", "", page)
-    blocks = re.split(r"(?i)<(?!/?(?:b|br|a|i|em|strong|span)\b)[^>]*>", text)
-    flat = (_SPACE.sub(" ", _html.unescape(re.sub(r"<[^>]*>", "", x))).strip(" ") for x in blocks)
-    return [(x, False) for x in flat if x]
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -22,15 +22,15 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from nearfield.llm.common import bound_batches, compact, documents, durable, written
+from nearfield.llm.common import beside, compact, documents, durable, values, written
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -43,7 +43,7 @@ GROUP = 1 << 20
 BLOCK = 4096
 
 
-def folded(texts: pd.Series) -> list[bytes]:
+def folded(texts: Iterable[str | None]) -> list[bytes]:
     """UTF-8 with A-Z lower-cased."""
     return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
 
@@ -94,9 +94,9 @@ def _blobs(docs: DataFrame, text: str, groups: int) -> DataFrame:
     """(p, keys, nodes): packed entries of all texts, by the leading bits of the sketch."""
     shift = U(64 - (groups.bit_length() - 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, ks, ns = folded(pdf[text]), [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (held,) in values(batches):
+            texts, ks, ns = folded(held), [], []
             for lo, hi in chunks(texts):
                 for s in shingle_sets(texts[lo:hi], SHINGLE):
                     if len(k := keys(s)):
@@ -112,9 +112,9 @@ def _blobs(docs: DataFrame, text: str, groups: int) -> DataFrame:
             p = (k >> shift).astype("i8") if groups > 1 else np.zeros(len(k), "i8")
             at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
             ends = np.append(at[1:], len(p))
-            yield pd.DataFrame({"p": p[at], "keys": [k[a:b].tobytes() for a, b in zip(at, ends)], "nodes": [v[a:b].tobytes() for a, b in zip(at, ends)]})
+            yield pa.RecordBatch.from_pydict({"p": p[at], "keys": [k[a:b].tobytes() for a, b in zip(at, ends)], "nodes": [v[a:b].tobytes() for a, b in zip(at, ends)]})
 
-    return docs.select(text).mapInPandas(run, "p bigint, keys binary, nodes binary")
+    return docs.select(text).mapInArrow(run, "p bigint, keys binary, nodes binary")
 
 
 def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,19 +135,19 @@ def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, node) of every row; node is NULL for an empty set."""
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("entries", T.LongType())])
+    """(_id, n, node, entries) of every row; node is NULL for an empty set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, got = folded(pdf["_text"]), []
-            for lo, hi in chunks(texts):
-                got += [(len(s), node_of(s) if len(s) else None, (allowed(len(s)) + 1) * len(bands(len(s))) if len(s) else 0) for s in shingle_sets(texts[lo:hi], SHINGLE)]
-            out = pd.DataFrame({"_id": pdf["_id"], "n": [g[0] for g in got], "node": pd.array([g[1] for g in got], "Int64"), "entries": [g[2] for g in got]})
-            yield out
+    def sets(texts: list[str | None]) -> tuple[list, list, list]:
+        n, node, entries = [], [], []
+        whole = folded(texts)
+        for lo, hi in chunks(whole):
+            for s in shingle_sets(whole[lo:hi], SHINGLE):
+                n.append(len(s))
+                node.append(node_of(s) if len(s) else None)
+                entries.append((allowed(len(s)) + 1) * len(bands(len(s))) if len(s) else 0)
+        return n, node, entries
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return beside(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], ["_text"], "n bigint, node bigint, entries bigint", sets)
 
 
 BLOOM_MAX = 1 << 26
@@ -176,10 +176,10 @@ def _sets(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     table, bits = _bloom(wanted_nodes, wanted_nodes.count())
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, done = np.frombuffer(sent.value, "u1"), set()
-        for pdf in batches:
-            texts, got = folded(pdf["_text"]), []
+        for (held,) in values(batches):
+            texts, got = folded(held), []
             for lo, hi in chunks(texts):
                 for s in shingle_sets(texts[lo:hi], SHINGLE):
                     if len(s):
@@ -189,9 +189,9 @@ def _sets(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
                             done.add(node)
                             got.append((node, s.tobytes()))
             if got:
-                yield pd.DataFrame(got, columns=["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["node", "s"])
 
-    rows = docs.select(F.col(text_col).alias("_text")).mapInPandas(run, "node bigint, s binary")
+    rows = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "node bigint, s binary")
     return compact(rows.join(wanted_nodes, "node", "left_semi").dropDuplicates(["node"]), 10_000)
 
 
@@ -296,7 +296,6 @@ def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, named): (_id, n, node) of every row, and (_id, node, c) of the rows with a set, c being the component."""
-    bound_batches(docs.sparkSession)
     held = durable(nodes(docs, id_col, text_col))
     total = held.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
     groups = max(1 << (max(1, total // GROUP) - 1).bit_length(), 1)

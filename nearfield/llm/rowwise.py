@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from nearfield.llm.common import sliced
 
-def keep_rows(df: DataFrame, text_col: str, verdict: Callable[[pd.Series], np.ndarray]) -> DataFrame:
-    """Rows whose text the verdict (text batch -> booleans) keeps.  Arrow batches pass through whole, so that no
-    value of the other columns changes its type on the way."""
+
+def keep_rows(df: DataFrame, text_col: str, verdict: Callable[[list], Sequence[bool]]) -> DataFrame:
+    """Rows whose text the verdict (texts -> booleans) keeps.  Arrow batches pass through, so that no value of the
+    other columns changes its type on the way.  NULL texts reach the verdict as None; an empty table stays empty; columns
+    may have any names and types that Arrow knows."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(verdict(b.column(at).to_pandas())))
+        for b in sliced(batches):
+            yield b.filter(pa.array(verdict(b.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -14,8 +14,8 @@ loss, and the suffix array is built of what is still open.
    of it; its windows are the 8-symbol substrings over the core.  These strings' suffixes are sorted by a difference
    cover (suffixes.py), and windows that equal an adjacent one in the order repeat.
 
-Whole texts that occur more than once are repeated by that alone.  Counts use partial sums, and only hashes travel
-but for the open pieces.  Hashes have 64 bits, and a span counts as equal with its core's hash besides.
+Whole texts that occur more than once (by a 128-bit digest) are repeated by that alone.  Counts use partial sums, and
+only hashes travel but for the open pieces.  A span counts as equal by its hash and its core's, 128 bits together.
 
 Edge cases: NULL is empty; texts under 400 bytes lose nothing; rows that repeat are copies of each other; NULL ids
 stay; an empty table gives an empty result; other columns are ignored.
@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearfield.llm import suffixes
-from nearfield.llm.common import bound_batches, documents, durable
+from nearfield.llm.common import beside, documents, durable, values
 from nearfield.llm.textnum import Prefix, U, chunks, mix
 
 LENGTH, GRAM, BLOCK, LAST = 400, 16, 128, 8
@@ -103,10 +103,10 @@ def _entries(texts: DataFrame, groups: int) -> DataFrame:
     """(p, e): packed (core, span, blob, place) of all pieces, by the leading bits of the core."""
     shift = U(64 - (groups.bit_length() - 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            blob, got = pdf["blob"].to_numpy(), []
-            parts = [(i, o, t) for i, x in enumerate(pdf["text"]) for o, t in _segments((x or "").encode("utf-8", "surrogatepass")) if len(t) >= LENGTH]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs, texts in values(batches):
+            blob, got = np.array(blobs, "i8"), []
+            parts = [(i, o, t) for i, x in enumerate(texts) for o, t in _segments((x or "").encode("utf-8", "surrogatepass")) if len(t) >= LENGTH]
             for lo, hi in chunks([t for *_, t in parts]):
                 text, start, high, n, core, span = pieces([t for *_, t in parts[lo:hi]])
                 if len(text):
@@ -120,9 +120,9 @@ def _entries(texts: DataFrame, groups: int) -> DataFrame:
             e, p = e[order], p[order]
             at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
             ends = np.append(at[1:], len(p))
-            yield pd.DataFrame({"p": p[at], "e": [e[x:y].tobytes() for x, y in zip(at, ends)]})
+            yield pa.RecordBatch.from_pydict({"p": p[at], "e": [e[x:y].tobytes() for x, y in zip(at, ends)]})
 
-    return texts.mapInPandas(run, "p bigint, e binary")
+    return texts.mapInArrow(run, "p bigint, e binary")
 
 
 def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,16 +148,19 @@ def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"blob": blob[at], "places": [x.tobytes() for x in places], "open": [bool((x & 3 >= OPEN).any()) for x in places]})
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 _PIECE = "core bigint, span bigint, blob bigint, anchor bigint, base int, lo int, hi int, l binary, r binary, known boolean"
 
 
 def _cut_open(joined: DataFrame) -> DataFrame:
     """The open and known pieces of (blob, text, places) with the bytes beside their cores."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    schema = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in _PIECE.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in values(batches):
             got = []
-            for blob, text, packed in zip(pdf["blob"], pdf["text"], pdf["places"], strict=True):
+            for blob, text, packed in zip(*columns, strict=True):
                 t = None
                 start, high, n, code = _unpack(np.concatenate([np.frombuffer(x, "i8") for x in packed]))
                 for s, h, m, k in zip(*(x[code >= OPEN].tolist() for x in (start, high, n, code)), strict=True):
@@ -165,9 +168,9 @@ def _cut_open(joined: DataFrame) -> DataFrame:
                     a, base, lo = s + h, h // BLOCK * BLOCK, h - m + 1
                     core = t[a - base : a - base - BLOCK + 1 + LENGTH]
                     got.append((_core(core, base), 0, blob, a, base, lo, h, t[s : a - base], t[a - base - BLOCK + 1 + LENGTH : a - lo + LENGTH], k == KNOWN))
-            yield pd.DataFrame(got, columns=[x.split()[0] for x in _PIECE.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*got), schema, strict=True)] if got else [pa.array([], f.type) for f in schema], schema.names)
 
-    return joined.mapInPandas(run, _PIECE)
+    return joined.select("blob", "text", "places").mapInArrow(run, _PIECE)
 
 
 def _core(*parts: bytes | int) -> int:
@@ -234,12 +237,17 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row, and with_text the remaining bytes as ``kept``."""
-    spark = docs.sparkSession
-    bound_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("blob"), text.alias("text"))
-    blobs = durable(base.select("blob", F.octet_length("text").cast("bigint").alias("n")))
+    digest = F.md5(text.cast("binary"))
+    half = lambda i: F.conv(F.substring(digest, i, 15), 16, 10).cast("bigint")
+    blobs = durable(docs.select(half(1).alias("blob"), half(17).alias("other"), F.octet_length(text).cast("bigint").alias("n")))
     total = blobs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # the name of a text is half of its 128-bit digest; where two texts share that half (by chance, a handful in 10**10)
+    # it is the other half
+    clash = [r[0] for r in blobs.groupBy("blob").agg(F.min("other").alias("x"), F.max("other").alias("y")).filter("x <> y").select("blob").collect()]
+    name = (lambda a, b: F.when(a.isin(clash), -b - 1).otherwise(a)) if clash else (lambda a, b: a)
+    blobs = blobs.select(name(F.col("blob"), F.col("other")).alias("blob"), "n")
+    base = docs.select(F.col(id_col).alias("_id"), name(half(1), half(17)).alias("blob"), text.alias("text"))
     groups = 1 << (max(1, total // 75 // GROUP) - 1).bit_length()
     copies = blobs.groupBy("blob").agg(F.count("*").alias("c")).filter("c > 1").select("blob")
     settled = durable(_entries(base.select("blob", "text"), groups).groupBy("p").applyInPandas(_settled, "blob bigint, places binary, open boolean"))
@@ -256,45 +264,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = durable(found.unionByName(_sorted_out(rows)))
     single = found.groupBy("blob").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     marks = mine.join(single, "blob", "full").join(copies.withColumn("copied", F.lit(True)), "blob", "full")
-    kind = docs.schema[id_col].dataType
-    fields = [T.StructField("_id", kind), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
-    schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if with_text else []))
-    done = base.join(marks, "blob", "left").mapInPandas(_assemble(with_text), schema)
+    made = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
+    done = beside(base.join(marks, "blob", "left"), ["_id"], ["text", "places", "windows", "copied"], made, lambda *x: _assemble(with_text, *x))
     return done.withColumnRenamed("_id", id_col)
 
 
-def _assemble(with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = []
-            for text, places, windows, copied in zip(pdf["text"], pdf["places"], pdf["windows"], pdf["copied"], strict=True):
-                t = text.encode("utf-8", "surrogatepass")
-                starts, ns = [], []
-                if copied is True and len(t) >= LENGTH:
-                    starts, ns = [np.zeros(1, "i8")], [np.array([len(t) - LENGTH + 1])]
-                else:
-                    if places is not None:
-                        s, _, n, code = _unpack(np.concatenate([np.frombuffer(x, "i8") for x in places]))
-                        starts, ns = [s[code != OPEN]], [n[code != OPEN]]
-                    if windows is not None:
-                        starts.append(np.array([w["start"] for w in windows], "i8"))
-                        ns.append(np.array([w["n"] for w in windows], "i8"))
-                removed = n_spans = 0
-                kept = t
-                if starts and len(s := np.concatenate(starts)):
-                    edge = np.zeros(len(t) + 1, "i8")
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + np.concatenate(ns) - 1 + LENGTH, -1)
-                    gone = edge.cumsum()[:-1] > 0
-                    removed = int(gone.sum())
-                    n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(t, "u1")[~gone].tobytes()
-                got.append((len(t), removed, n_spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            out = pd.DataFrame(got, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
-            out.insert(0, "_id", pdf["_id"].to_numpy())
-            yield out
-
-    return run
+def _assemble(with_text: bool, texts: list[str], places: list, windows: list, copied: list) -> list[list]:
+    """n_bytes, n_removed, n_spans, kept_sha256 (and kept) of each text, from its repeated windows."""
+    got = []
+    for text, packed, single, whole in zip(texts, places, windows, copied, strict=True):
+        t = text.encode("utf-8", "surrogatepass")
+        starts, ns = [], []
+        if whole and len(t) >= LENGTH:
+            starts, ns = [np.zeros(1, "i8")], [np.array([len(t) - LENGTH + 1])]
+        else:
+            if packed is not None:
+                s, _, n, code = _unpack(np.concatenate([np.frombuffer(x, "i8") for x in packed]))
+                starts, ns = [s[code != OPEN]], [n[code != OPEN]]
+            if single is not None:
+                starts.append(np.array([w["start"] for w in single], "i8"))
+                ns.append(np.array([w["n"] for w in single], "i8"))
+        removed = n_spans = 0
+        kept = t
+        if starts and len(s := np.concatenate(starts)):
+            edge = np.zeros(len(t) + 1, "i8")
+            np.add.at(edge, s, 1)
+            np.add.at(edge, s + np.concatenate(ns) - 1 + LENGTH, -1)
+            gone = edge.cumsum()[:-1] > 0
+            removed = int(gone.sum())
+            n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            kept = np.frombuffer(t, "u1")[~gone].tobytes()
+        got.append((len(t), removed, n_spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+    return [list(x) for x in zip(*got)]
 
 
 def query(spark, sf_dir: str) -> DataFrame:

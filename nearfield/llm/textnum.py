@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -56,17 +58,29 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] ^ ((end - start).astype(U) << U(40)))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Distinct words whose hashes a worker remembers.
+WORDS_HELD = 1 << 20
+
+
+class _Hashes(dict):
+    """XXH3 of a word, remembered.  (Sums of powers would do for bytes of a window, but not for words: unlike words of a
+    thousand letters can be made whose sums agree.)"""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_hash = _Hashes()
 
 
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the end): words are runs of other bytes than 9-13 and 32."""
-    buf = np.frombuffer(b"\n".join([*texts, b""]), "u1")
-    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    gap = np.concatenate([[True], _SPACE[buf], [True]])
-    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    return Prefix(buf).of(start, end), np.searchsorted(start, begin)
+    words = [t.split() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype("i8")
+    return np.fromiter(map(_hash.__getitem__, chain.from_iterable(words)), U, int(at[-1])), at
 
 
 def shingle_sets(texts: Sequence[bytes], n: int = 5) -> list[np.ndarray]:

@@ -11,13 +11,13 @@ Edge cases: a NULL URL, or one without ``://``, has an empty host and path, and
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from nearfield.llm.common import beside
 
 BUCKETS, TRAIN_MAX, GRAMS = 1 << 16, 20_000, (3, 4, 5)
 #: (verdict, host, path prefix) of the query.
@@ -100,23 +100,18 @@ def judge(pages: DataFrame, rules=RULES, table: Sequence[tuple[str, int]] | None
     w = w.astype("f4")
     sent = pages.sparkSession.sparkContext.broadcast(w)
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1]) - len(rules[i][2]), i))
-    kind = pages.schema[id_col]
-    schema = T.StructType([T.StructField(id_col, kind.dataType), *[T.StructField(n, T.StringType()) for n in ("host", "path", "rule")], T.StructField("score", T.DoubleType()), T.StructField("verdict", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = sent.value
-        for pdf in batches:
-            got = []
-            for url in pdf[url_col]:
-                host, path = parts(url)
-                hit = next((rules[i] for i in order if (host == rules[i][1] or host.endswith("." + rules[i][1])) and path.startswith(rules[i][2])), None)
-                s = float(score(weights, b, host, path)) if host else min(b, 0.0)
-                got.append((host, path, hit and hit[1] + hit[2], s, hit[0] if hit else "block" if s > 0 else "allow"))
-            out = pd.DataFrame(got, columns=["host", "path", "rule", "score", "verdict"])
-            out.insert(0, id_col, pdf[id_col].to_numpy())
-            yield out
-
-    return pages.select(F.col(id_col), F.col(url_col)).mapInPandas(run, schema)
+
+    def run(urls: list[str | None]) -> list[list]:
+        weights, out = sent.value, []
+        for url in urls:
+            host, path = parts(url)
+            hit = next((rules[i] for i in order if (host == rules[i][1] or host.endswith("." + rules[i][1])) and path.startswith(rules[i][2])), None)
+            s = float(score(weights, b, host, path)) if host else min(b, 0.0)
+            out.append((host, path, hit and hit[1] + hit[2], s, hit[0] if hit else "block" if s > 0 else "allow"))
+        return [list(x) for x in zip(*out)]
+
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
+    return beside(rows, ["_id"], ["_url"], "host string, path string, rule string, score double, verdict string", run).withColumnRenamed("_id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

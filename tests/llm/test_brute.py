@@ -138,6 +138,84 @@ def test_html_against_the_known_layout(spark, sf):
         assert got[r["page_id"]] == re.sub(r"[ \t\n\x0b\x0c\r]+", " ", h.unescape(inner)).strip(" ")
 
 
+def longest_common(a, b):
+    """The entries of a in the longest common subsequence with b that alignment picks: equal ends first, then back from
+    the end of a full table."""
+    hit, lo, ea, eb = [False] * len(a), 0, len(a), len(b)
+    while lo < min(ea, eb) and a[lo] == b[lo]:
+        hit[lo] = True
+        lo += 1
+    while ea > lo and eb > lo and a[ea - 1] == b[eb - 1]:
+        ea, eb = ea - 1, eb - 1
+        hit[ea] = True
+    x, y = a[lo:ea], b[lo:eb]
+    n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, u in enumerate(x):
+        for j, v in enumerate(y):
+            n[i + 1][j + 1] = n[i][j] + 1 if u == v else max(n[i][j + 1], n[i + 1][j])
+    i, j = len(x), len(y)
+    while i and j:
+        if n[i][j] == n[i][j - 1]:
+            j -= 1
+        else:
+            i -= 1
+            if n[i][j] == n[i][j - 1]:
+                hit[lo + i] = True
+                j -= 1
+    return hit
+
+
+def extracted(pages):
+    """{(id, url, html): text}: every page against its nearest neighbours, in one list."""
+    rows = {(u, h) for _, u, h in pages}
+    order = []
+    for u, h in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", u or "")
+        host, path, query = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2], m[3] or "") if m else ("", "", "")
+        if not m and u:
+            query = re.match(r"[^?#]*(\?[^#]*)?", u)[1] or ""
+        order.append((host.encode(), path.encode(), query.encode(), html._page_key(None, h), html._page_key(u, h), u, h))
+    order.sort(key=lambda r: r[:5])
+    text = {}
+    for i, r in enumerate(order):
+        cut = html.lines(r[6])
+        own = [t for t, main, _ in cut if not main]
+        shared = [False] * len(own)
+        for others in (order[:i][::-1], order[i + 1 :]):
+            other = next((x for x in others if x[0] == r[0] and x[1:3] != r[1:3] and x[3] != r[3]), None)
+            if other:
+                shared = [a or b for a, b in zip(shared, longest_common(own, [t for t, main, _ in html.lines(other[6]) if not main]), strict=True)]
+        marks = iter(shared)
+        text[r[5], r[6]] = " ".join(t for t, main, named in cut if (main or not next(marks)) and not named)
+    return text
+
+
+def test_html_against_brute_force(spark, sf):
+    """The whole query on whole tables, and on pages whose furniture has no telling names."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    made = []
+    for host in ("h.com", "K.org", "solo.net"):
+        menu, foot = [word() for _ in range(4)], [word() for _ in range(3)]
+        for i in range(1 if host == "solo.net" else 25):
+            body = [f"<p>{' '.join(word() for _ in range(6))}</p>" for _ in range(rng.randrange(1, 5))]
+            some = "".join(f"<div>{m}</div>" for m in menu if rng.random() < 0.9)
+            made.append((i, rng.choice([f"http://{host}/a/{i}", f"http://{host}/index.php?id={i}", f"https://{host}/a"]), f"<body><div>{some}</div><div>{''.join(body)}</div><table><tr><td>{'<td>'.join(foot)}</table>"))
+    made += [(None, None, None), (7, None, "<p>x"), (8, "no host?a", "<p>x<p>y"), (9, "no host?b", "<p>x<p>z"), *made[:4]]
+    fixture = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    for pages in (made, fixture):
+        want = extracted(pages)
+        d = spark.createDataFrame(pages, "page_id long, url string, html string")
+        got = [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html.extract(d).collect()]
+        full = [(i, u, want[u, h], len(want[u, h])) for i, u, h in pages]
+        assert sorted(got, key=repr) == sorted(full, key=repr)
+    text = " ".join(extracted(made).values())
+    assert text.count("<") == 0
+    # differencing alone tells this furniture: without it every menu line would stay
+    alone = [(" ".join(t for t, _, named in html.lines(h) if not named), u, h) for _, u, h in made]
+    assert sum(t != want_ for (t, u, h) in alone for want_ in [extracted(made)[u, h]]) > 40
+
+
 def test_common_lines():
     rng = random.Random(1)
     for _ in range(300):

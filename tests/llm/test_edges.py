@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearfield.llm import chat, decontaminate, html, jaccard, licenses, mixing, quality, secrets, substrings, urls
+from nearfield.llm import chat, decontaminate, html, jaccard, licenses, mixing, quality, secrets, substrings, textnum, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size long, blob string, node long, kept string, _id string, g string, level int, distance string"
 LONG = " ".join(f"w{i % 977}x{i // 977}" for i in range(9000))
@@ -21,6 +21,16 @@ OPS = {
 }
 
 
+def test_unlike_long_words_are_told_apart():
+    """Words of two letters in the Thue-Morse order and its complement agree in every sum of powers modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << 11))
+    b = a.translate(str.maketrans("ab", "ba"))
+    (x, y), at = textnum.word_hashes([a.encode(), b.encode()])
+    assert x != y and at.tolist() == [0, 1, 2]
+    words, at = textnum.word_hashes([b"", b" one\ttwo one\x1cx", b"one"])
+    assert at.tolist() == [0, 0, 3, 4] and words[0] == words[3] != words[1]
+
+
 def nasty(spark):
     texts = [None, "", " \t\n", "one two", LONG, LONG, "same text of five words here", "same text of five words here", 'password = "abcdefghijkl" é', None]
     rows = [(None if i in (2, 9) else i % 8, t, None if i % 3 else "en", None if i % 4 == 0 else "a", None, 1, "b", 2, "k", "i", "g", 3, "d") for i, t in enumerate(texts)]
@@ -47,7 +57,27 @@ def test_decontaminate_in_blocks(spark, sf, monkeypatch):
     one = lambda: (sorted((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.scan(d, b).collect()), decontaminate.decontaminated(d, b).count())
     whole = one()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
-    assert len(decontaminate.item_blocks(b)) > 2 and one() == whole
+    assert len(list(decontaminate.item_blocks(b))) > 4 and one() == whole  # more than a worker holds
+    monkeypatch.setattr(decontaminate, "HELD", 99)
+    assert one() == whole
+
+
+def test_ids_beside_null_stay(spark):
+    """Longs that no double holds, next to a NULL in one batch: no operator makes one of them into another."""
+    ids = [2**60 + 1, None, 2**60 + 3]
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    d = spark.createDataFrame([(i, text(n), "en", "a") for n, i in enumerate(ids)], "doc_id long, text string, lang string, source string").coalesce(1)
+    b = spark.createDataFrame([(1, text(1))], "item_id long, text string")
+    p = spark.createDataFrame([(i, f"http://a.com/{n}", f"<p>{n}") for n, i in enumerate(ids)], "page_id long, url string, html string").coalesce(1)
+    t = spark.createDataFrame([(i, 0, "user", "x") for i in ids], "conv_id long, turn long, role string, text string").coalesce(1)
+    for name, f in (OPS | {"decontaminate": lambda d: decontaminate.scan(d, b)}).items():
+        assert sorted((r["doc_id"] for r in f(d).collect()), key=str) == sorted(ids, key=str), name
+    assert sorted((r["component_id"] for r in jaccard.near_duplicates(d).collect()), key=str) == sorted(ids, key=str)
+    hit = {r["doc_id"] for r in decontaminate.scan(d, b).filter("n_hit > 0").collect()}
+    assert hit == {None}
+    for f in (html.extract, urls.judge):
+        assert sorted((r["page_id"] for r in f(p).collect()), key=str) == sorted(ids, key=str)
+    assert sorted((r["conv_id"] for r in chat.conversations(t).collect()), key=str) == sorted(ids, key=str)
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):
@@ -124,7 +154,7 @@ def test_chat_edges(spark):
 
 
 def test_only_furniture_is_dropped():
-    text = lambda page: " ".join(t for t, _ in html.lines(page))
+    text = lambda page: " ".join(t for t, _, named in html.lines(page) if not named)
     for page in (
         '<html class="js no-banner"><body class="has-sidebar header"><p>x</p><p>y</p>',
         '<main class="page no-sidebar">x<p>y</main>',
