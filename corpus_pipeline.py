@@ -3,16 +3,20 @@
 Each stage takes what the one before kept.  Quality rules drop texts; of near duplicates the smallest id stays; texts
 with a benchmark passage go; secrets are replaced by a mark (n_chars is counted again); the last stage says how many
 words of each document the mix takes, and leaves out documents that it does not take.
+
+Edge cases, in every stage: NULL and empty texts are rejected by the first (under 50 words) and pass the others as they
+are, but for the mix, which takes nothing of them; texts are read whole, whatever their length; rows that repeat or share
+an id are rows of their own, and of copies one row stays, by row and not by id; NULL languages and sources are groups of
+their own; an empty table gives an empty table of the same columns; further columns travel along, whatever their names,
+but for the mix, which returns its own columns beside the id, text, lang and n_chars.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import decontaminate, jaccard, mixing, quality, secrets
-from nearfield.llm.common import DEFAULT_DIR
+from nearfield.llm.common import made, release, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows.  Every stage's result is written to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or DEFAULT_DIR
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        out = f"{base}/pipeline/{uuid.uuid4().hex}-{i}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    """The last stage's rows.  Every stage's result is written to the shared folder and read again; what a stage has read
+    and written besides is deleted then, so that two copies of the corpus are the most on disk."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(made(spark))
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "pipeline")
+        release(spark, [x for x in made(spark)[:-1] if x not in before])  # all of this run but the stage's result
     return docs
