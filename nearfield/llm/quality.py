@@ -1,11 +1,12 @@
 """Quality rules: base counts, and robust multivariate outliers per language and source.
 
 Each text gives counts and, from them, a vector of four transformed statistics.  For each (language, source), each
-language and the whole table, the minimum covariance determinant is approximated by concentration steps: from a
-start by medians and absolute deviations, the half of the texts nearest in Mahalanobis distance gives the next mean
-and covariance.  Quantiles come from histograms of fixed bins, so that a step is two aggregates over a narrow
-table with partial sums, however large a group is.  A text is rejected if its squared distance under the most
-specific estimate that has MIN_ROWS texts is above CUT.  JVM expressions only.
+language and the whole table, the minimum covariance determinant is searched by concentration steps from three starts:
+the half of the texts nearest in Mahalanobis distance gives the next mean and covariance, until the determinant has
+settled, and the start that ends with the smallest determinant gives the estimate.  The half comes from histograms of
+distances, so that a step is one aggregate over a narrow table with partial sums, however large a group is.  A text is
+rejected if its squared distance under the most specific estimate that has MIN_ROWS texts is above CUT.  JVM expressions
+only.
 
 Words are runs of other characters than space and 9 to 13.  Base: n_words, word_chars (code points in words),
 n_symbols (``#*$%&|<>``), n_dup_lines (\\n-lines with a word that equal an earlier line), n_repeat_words (words in
@@ -13,19 +14,25 @@ three-word windows found twice or more).  Rejected outright: under 50 words, or
 repeated windows; such texts take no part in the estimates.
 
 Edge cases: NULL and empty texts have no words and are rejected; a NULL language or source is a group of its own;
-rows that repeat are judged alike and count each; an empty table gives an empty result; a table with fewer than
-MIN_ROWS usable texts has no estimate, and keeps what passes the base rules; other columns are ignored.
+rows that repeat are judged alike and count each; ids are not looked at; a very long text is counted whole, in one row;
+a group of fewer than MIN_ROWS usable texts takes its language's estimate or the whole table's, and a table of fewer has
+none (four statistics of under 20 texts have no covariance to speak of) and keeps what passes the base rules; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, durable, word_array, written
+from nearfield.llm.common import documents, durable, small, word_array, written
 
 SYMBOLS = "#*$%&|<>"
-MIN_WORDS, MIN_ROWS, STEPS, CUT = 50, 20, 4, 40.0
+MIN_WORDS, MIN_ROWS, STEPS, CUT = 50, 20, 12, 40.0
+#: Change of a determinant's logarithm at which a concentration has settled (a bin of distances is 1/64).
+SETTLED = 1e-3
 #: MIN_ROWS: half of 20 texts are ten for the covariance of four statistics, which FLOOR keeps regular.
 #: Least spread of each statistic, in its own unit: a group that never repeats a line must not reject one that does.
 #: CUT is the 4e-8 tail of chi-square with four degrees, as clean texts are not quite Gaussian.
@@ -65,12 +72,19 @@ def vector() -> list[Column]:
     return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.sqrt(F.least(F.lit(1.0), F.col("n_symbols") / F.greatest("word_chars", F.lit(1)))), F.sqrt(F.least(F.lit(1.0), 10 * F.col("n_dup_lines") / n)), F.sqrt(F.least(F.lit(1.0), F.col("n_repeat_words") / n))]
 
 
-def _quantile(df: DataFrame, by: list[str], bin_col: str, share: float, out: str) -> DataFrame:
-    """The bin in which the share of each group's rows is reached: counts by bin, then sums over a group's bins."""
-    counts = df.groupBy(*by, bin_col).agg(F.count("*").alias("_n"))
+def _leading(df: DataFrame, by: list[str], bin_col: str, share: float, sums: list[Column]) -> DataFrame:
+    """by, bin_col, _n and sums of each bin up to the one in which the share of a group's rows is reached.  Rows meet by
+    group and bin first, so that a group of any size is added up in many tasks; only its bins meet in one."""
+    keys = [*by, bin_col]
+    bins = df.groupBy(*keys).agg(F.count("*").alias("_n"), *sums).repartition(*keys)
     w = Window.partitionBy(*by)
-    sums = counts.withColumn("_c", F.sum("_n").over(w.orderBy(bin_col))).withColumn("_all", F.sum("_n").over(w))
-    return sums.filter(F.col("_c") >= share * F.col("_all")).groupBy(*by).agg(F.min(bin_col).alias(out))
+    placed = bins.withColumn("_c", F.sum("_n").over(w.orderBy(bin_col))).withColumn("_all", F.sum("_n").over(w))
+    return placed.filter(F.col("_c") - F.col("_n") < share * F.col("_all"))
+
+
+def _quantile(df: DataFrame, by: list[str], bin_col: str, share: float, out: str) -> DataFrame:
+    """The bin in which the share of each group's rows is reached."""
+    return _leading(df, by, bin_col, share, []).groupBy(*by).agg(F.max(bin_col).alias(out))
 
 
 def _inverse(p: int = 4) -> tuple[list[tuple[str, Column]], list[str]]:
@@ -102,39 +116,72 @@ def _group(level: int) -> Column:
 
 
 def estimates(stats: DataFrame) -> DataFrame:
-    """(g, level, n, m_i, l_ij) of each group of stats(_lang, _source, x0..x3)."""
+    """(g, level, n, logdet, start, m_i, l_ij) of each group of stats(_lang, _source, x0..x3): of the concentrations from
+    several starts the one with the smallest determinant."""
     rows = durable(stats.select(F.explode(F.array(*[F.struct(_group(k).alias("g"), F.lit(k).alias("level")) for k in range(3)])).alias("k"), *NAMES).select("k.*", *NAMES))
-    # start: medians, then medians of the absolute deviations, of each coordinate
+    moving, done = durable(_starts(rows)), None
+    for _ in range(STEPS):
+        now = durable(_concentrate(rows, moving))
+        still = F.abs(F.col("logdet") - F.col("_was")) > SETTLED
+        done = now.filter(~still) if done is None else done.unionByName(now.filter(~still))
+        moving = now.filter(still)
+        if moving.isEmpty():
+            break
+    every = done.unionByName(moving)
+    first = ["logdet", "start"]
+    rest = [c for c in every.columns if c not in ("g", "_was", *first)]
+    best = every.groupBy("g").agg(F.min(F.struct(*first, *rest)).alias("_e"))
+    return durable(best.select("g", "_e.*"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, level, n, start, logdet, m_i, l_ij): from medians with absolute deviations, from medians with the least spreads,
+    and from mean and covariance."""
+    # medians, then medians of the absolute deviations, of each coordinate
     scale = _BINS * 4
     long = rows.select("g", F.posexplode(F.array(*NAMES)).alias("i", "x"))
-    med = _quantile(long.withColumn("_b", F.floor(F.col("x") * scale).cast("bigint")), ["g", "i"], "_b", 0.5, "_m").select("g", "i", ((F.col("_m") + 0.5) / scale).alias("m"))
-    dev = long.join(med, ["g", "i"]).withColumn("_b", F.floor(F.abs(F.col("x") - F.col("m")) * scale).cast("bigint"))
+    med = durable(_quantile(long.withColumn("_b", F.floor(F.col("x") * scale).cast("bigint")), ["g", "i"], "_b", 0.5, "_m").select("g", "i", ((F.col("_m") + 0.5) / scale).alias("m")))
+    dev = long.join(small(med), ["g", "i"]).withColumn("_b", F.floor(F.abs(F.col("x") - F.col("m")) * scale).cast("bigint"))
     mad = _quantile(dev, ["g", "i"], "_b", 0.5, "_s").select("g", "i", (1.4826 * (F.col("_s") + 0.5) / scale).alias("s"))
     pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
-    est = med.join(mad, ["g", "i"]).groupBy("g").agg(*[pick(i, "m").alias(f"m{i}") for i in range(4)], *[pick(i, "s").alias(f"s{i}") for i in range(4)])
-    est = est.select("g", *[f"m{i}" for i in range(4)], *[(F.greatest(F.col(f"s{i}"), F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)])
-    for _ in range(STEPS):
-        est = durable(_concentrate(rows, est))
-    return est
+    mids = med.join(mad, ["g", "i"]).groupBy("g").agg(*[pick(i, "m").alias(f"m{i}") for i in range(4)], *[pick(i, "s").alias(f"s{i}") for i in range(4)])
+    whole = rows.groupBy("g").agg(F.max("level").alias("level"), F.count("*").alias("_n"), *_moments()).withColumn("n", F.col("_n"))
+    classic = _shaped(whole).withColumn("start", F.lit(2))
+    spread = lambda k: [(F.greatest(F.col(f"s{i}"), F.lit(FLOOR[i])) if k == 0 else F.lit(FLOOR[i])).alias(f"l{i}{i}") for i in range(4)]
+    zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(4) for j in range(i)]
+    out = classic
+    for k in (0, 1):
+        own = mids.join(whole.select("g", "level", "n"), "g").select("g", "level", "n", F.lit(k).alias("start"), F.lit(1e9).alias("logdet"), *[f"m{i}" for i in range(4)], *spread(k), *zero)
+        out = out.unionByName(own)
+    return out.withColumn("logdet", F.lit(1e9))
+
+
+def _moments() -> list[Column]:
+    one = [F.sum(x).alias(f"_s{i}") for i, x in enumerate(NAMES)]
+    return one + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"_s{i}{j}") for i in range(4) for j in range(i + 1)]
 
 
 def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """One step: mean and covariance of the nearest half of each group."""
-    params = [c for c in est.columns if c not in ("g", "n", "level")]
-    d = rows.join(est.select("g", *params), "g").select("g", "level", *NAMES, _distance().alias("_d")).withColumn("_b", F.floor(F.log(F.col("_d") + 1e-6) * _BINS).cast("bigint"))
-    edge = _quantile(d, ["g"], "_b", 0.5, "_edge")
-    near = F.col("_b") <= F.col("_edge")
-    sums = [F.max("level").alias("level"), F.count("*").alias("n"), F.sum(F.when(near, 1)).alias("_n")]
-    sums += [F.sum(F.when(near, F.col(x))).alias(f"_s{i}") for i, x in enumerate(NAMES)]
-    sums += [F.sum(F.when(near, F.col(NAMES[i]) * F.col(NAMES[j]))).alias(f"_s{i}{j}") for i in range(4) for j in range(i + 1)]
-    got = d.join(edge, "g").groupBy("g").agg(*sums)
-    mean = got.withColumns({f"m{i}": F.col(f"_s{i}") / F.col("_n") for i in range(4)})
+    """One step: mean and covariance of the nearest half of each group, under each of its estimates.  A bin of distances
+    brings its rows' moments along, so that a step is one aggregate over the rows."""
+    params = [c for c in est.columns if c not in ("g", "n", "level", "logdet", "_was")]
+    near = rows.drop("level").join(small(est.select("g", *params)), "g").select("g", "start", *NAMES, F.floor(F.log(_distance() + 1e-6) * _BINS).cast("bigint").alias("_b"))
+    bins = _leading(near, ["g", "start"], "_b", 0.5, _moments())
+    sums = [F.sum(c).alias(c) for c in ["_n", *[f"_s{i}" for i in range(4)], *[f"_s{i}{j}" for i in range(4) for j in range(i + 1)]]]
+    half = bins.groupBy("g", "start").agg(*sums)
     # the nearest half is narrower than the whole: chi-square consistency factor for four statistics and one half
-    cov = mean.withColumns({f"v{i}{j}": (F.col(f"_s{i}{j}") / F.col("_n") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY + (FLOOR[i] ** 2 if i == j else 0.0) for i in range(4) for j in range(i + 1)})
+    return _shaped(half.join(est.select("g", "start", "level", "n", F.col("logdet").alias("_was")), ["g", "start"]), CONSISTENCY, ["start", "_was"])
+
+
+def _shaped(sums: DataFrame, factor: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """g, level, n, keep, the logarithm of the determinant, mean and Cholesky factor, from moments."""
+    mean = sums.withColumns({f"m{i}": F.col(f"_s{i}") / F.col("_n") for i in range(4)})
+    cov = mean.withColumns({f"v{i}{j}": (F.col(f"_s{i}{j}") / F.col("_n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (FLOOR[i] ** 2 if i == j else 0.0) for i in range(4) for j in range(i + 1)})
     steps, names = _inverse()
     for name, c in steps:
         cov = cov.withColumn(name, c)
-    return cov.select("g", "level", "n", *[f"m{i}" for i in range(4)], *names)
+    det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, 4)), 2 * F.log(F.col("l00")))
+    return cov.select("g", "level", "n", *keep, det.alias("logdet"), *[f"m{i}" for i in range(4)], *names)
 
 
 #: 0.5 / P(chi2 with 6 degrees <= median of chi2 with 4).
@@ -149,11 +196,12 @@ def _statistics(docs: DataFrame, keep: list[str], text_col: str, lang_col: str,
 def _verdicts(stats: DataFrame, est: DataFrame) -> DataFrame:
     """stats with the distance under the most specific estimate of its language and source, and kept."""
     est = est.filter(F.col("n") >= MIN_ROWS)
-    params = [c for c in est.columns if c not in ("g", "n", "level")]
+    params = [c for c in est.columns if c not in ("g", "n", "level", "logdet", "start")]
     held = est.select("g", F.struct("level", *params).alias("_e"))
     out = stats
-    for k in range(3):  # a row a group at most: languages and sources are few beside the texts
-        out = out.join(held.select(F.col("g").alias("_key"), F.col("_e").alias(f"_e{k}")), _group(k) == F.col("_key"), "left").drop("_key")
+    for k in range(3):
+        own = small(held.filter(F.col("_e.level") == k).select(F.col("g").alias("_key"), F.col("_e").alias(f"_e{k}")))
+        out = out.join(own, _group(k) == F.col("_key"), "left").drop("_key")
     out = out.withColumn("_e", F.coalesce("_e2", "_e1", "_e0")).select(*stats.columns, "_e.*").withColumn("distance", _distance())
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
 

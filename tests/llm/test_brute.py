@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain programs on the smallest tables."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -115,6 +116,53 @@ def test_quality_counts_and_verdicts(spark, sf):
     assert sum(r["kept"] for r in usable) >= 0.99 * len(usable)
 
 
+def smallest_determinant(x, tries=150):
+    """(logdet, mean, covariance) of the half of x whose regularised covariance has the smallest determinant, by exact
+    concentration from many random starts."""
+    rng, half, best = np.random.default_rng(9), -(-len(x) // 2), (np.inf, None, None)
+    floor = np.diag(np.square(quality.FLOOR))
+    for _ in range(tries):
+        own = x[rng.choice(len(x), 5, replace=False)]
+        for _ in range(40):
+            m, v = own.mean(0), np.cov(own.T, bias=True) * quality.CONSISTENCY + floor
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v), x - m)
+            new = x[np.argsort(d, kind="stable")[:half]]
+            if len(new) == len(own) and (new == own).all():
+                break
+            own = new
+        m, v = own.mean(0), np.cov(own.T, bias=True) * quality.CONSISTENCY + floor
+        best = min(best, (np.linalg.slogdet(v)[1], m, v), key=lambda b: b[0])
+    return best
+
+
+def test_quality_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stats = quality._statistics(docs, ["doc_id"], "text", "lang", "source")
+    usable = [r for r in stats.collect() if not r["base_failed"]]
+    found = {r["g"]: r for r in quality.estimates(stats.filter("not base_failed")).collect()}
+    groups = defaultdict(list)
+    for r in usable:
+        for own in ((), (r["_lang"],), (r["_lang"], r["_source"])):
+            groups[own].append([r[c] for c in quality.NAMES])
+    names = {own: json.dumps({"level": len(own)} | {k: v for k, v in zip(("_lang", "_source"), own) if v is not None}, separators=(",", ":"), ensure_ascii=False) for own in groups}
+    shapes = {}
+    for own, x in groups.items():
+        assert found[names[own]]["n"] == len(x)
+        if len(x) >= quality.MIN_ROWS:
+            det, m, v = smallest_determinant(np.array(x))
+            shapes[own] = m, np.linalg.inv(v)
+            # halves are cut at a bin of distances, so that they may be some rows larger
+            assert found[names[own]]["logdet"] <= det + 0.25, (own, found[names[own]]["logdet"], det)
+    assert len(shapes) >= 3
+    got = {r["doc_id"]: r for r in quality.query(spark, SMALL).collect()}
+    assert len(got) == docs.count()
+    for r in usable:
+        m, w = next(shapes[own] for own in ((r["_lang"], r["_source"]), (r["_lang"],), ()) if own in shapes)
+        x = np.array([r[c] for c in quality.NAMES])
+        assert got[r["doc_id"]]["kept"] == ((x - m) @ w @ (x - m) <= quality.CUT), (r["doc_id"], got[r["doc_id"]]["distance"], (x - m) @ w @ (x - m))
+    assert all(not r["kept"] for r in got.values() if r["base_failed"])
+
+
 def test_quality_of_a_small_table(spark):
     rows = {r["doc_id"]: r for r in quality.query(spark, SMALL).collect() if not r["base_failed"]}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r["doc_id"] in rows}
