@@ -12,7 +12,7 @@ loss, and the suffix array is built of what is still open.
 3. Open pieces are halved, four times, and settled in the same way: those that stay are at the ends of matches.
 4. A piece of a block of 8 is the string of its bytes left of the core, the core as one symbol, and the bytes right
    of it; its windows are the 8-symbol substrings over the core.  These strings' suffixes are sorted by a difference
-   cover (suffixes.py), and windows that equal an adjacent one in the order repeat.
+   cover (suffixes.py: triples, recursion on names, merging), and windows that equal an adjacent one in the order repeat.
 
 Whole texts that occur more than once (by a 128-bit digest) are repeated by that alone.  Counts use partial sums, and
 only hashes travel but for the open pieces.  A span counts as equal by its hash and its core's, 128 bits together.
@@ -226,11 +226,11 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"s": pdf["s"], "symbols": sym})
 
     strings = durable(named.mapInPandas(contract, "s bigint, symbols array<bigint>"))
-    order = suffixes.ranked(strings, 2)  # nine symbols; windows have LAST
+    order = suffixes.ranked(strings, LAST)
     prefix = F.xxhash64(F.slice("symbols", F.col("i") + 1, F.lit(LAST)))
     # place i of a piece is the window with offset hi - i: it starts i bytes behind the piece
     some = named.select("s", "blob", "anchor", "lo", "hi", "known")
-    starts = order.join(strings, "s").withColumn("prefix", prefix).drop("symbols").join(some.select("s", "lo", "hi"), "s").filter(F.col("i") <= F.col("hi") - F.col("lo"))
+    starts = order.join(strings, "s").select("s", "i", "rank", prefix.alias("prefix")).join(some.select("s", "lo", "hi"), "s").filter(F.col("i") <= F.col("hi") - F.col("lo"))
     hit = suffixes.repeated(starts.drop("lo", "hi"))
     return hit.join(some.filter("not known"), "s").select("blob", (F.col("anchor") - F.col("hi") + F.col("i")).alias("start"), F.lit(1).cast("bigint").alias("n"))
 

@@ -1,13 +1,16 @@
-"""Suffix sorting by a difference cover, in DataFrames.
+"""Suffix sorting by a difference cover modulo 3, in DataFrames.
 
-For a table of short strings of numbers: triples at positions 1 and 2 modulo 3 are sorted and named in order; names
-are put in place of triples and their triples sorted again (the recursion; two levels order by nine symbols, each
-further one by three times as many); the other suffixes are merged in by their first symbols and the rank behind
-these.  Ranks of one class cannot be compared with another's directly, so that merging gives three orders, one for
-each pair of classes, and any two suffixes stand in one of them.
+For a table of strings of numbers, each followed by END for ever: triples at positions 1 and 2 modulo 3 are sorted and
+named; where names are not unique, the names of each string's two classes are strings themselves and are ranked by the
+same function (the recursion).  The other suffixes are merged in: a suffix's rank is the number of smaller ones of each
+class, and for any two classes one sorted order compares them (by a symbol or two, and the rank behind these).  Equal
+suffixes get equal ranks, in one string or in several.
 
-Every order is a range-partitioned sort of all suffixes; names are numbers that ascend with the order (a partition's
-number, then a place in it), fixed by a checkpoint.  Nothing but two values a partition comes to the driver.
+Every order is a range-partitioned sort of distinct keys; numbers before a key are sums within its partition and of the
+partitions before it.  Nothing but a value or two of each partition comes to the driver.
+
+Edge cases: empty strings have no suffixes; NULL strings and symbols are not allowed; strings may repeat; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,65 +18,94 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import durable, shuffle_parts
 
 END = -1  # the symbol behind a string's last one, below all
-
-
-def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    """rows with the name of their key: equal keys have equal names, and names ascend with keys."""
-    n = shuffle_parts(rows.sparkSession)
-    names = durable(rows.select(*key).distinct().repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn(name, F.monotonically_increasing_id()))
-    return rows.join(names, key)
-
-
-def ranked(strings: DataFrame, levels: int = 2) -> DataFrame:
-    """(s, i, c0, c1, r0, r1, r2) for every position of strings(s, symbols: array<bigint>): the first two symbols, and
-    the ranks of the suffixes at i, i+1 and i+2 (NULL where the cover has none), by 3**levels symbols."""
-    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(END).cast("bigint"))
-    size = F.size("symbols")
-    rows = strings.select("s", "symbols", F.explode(F.sequence(F.lit(0), size)).alias("i")).filter(F.col("i") % 3 != 0)
-    c = rows.select("s", "i", *[at("symbols", F.col("i") + j).alias(f"c{j}") for j in range(3)])
-    held = durable(_named(c, ["c0", "c1", "c2"], "r").select("s", "i", "r"))
-    step = 3
-    for _ in range(levels - 1):
-        # the names at i, i + step and i + 2 * step are a triple of the string of names
-        own = held.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("m"))
-        name = lambda j: F.coalesce(F.try_element_at("m", j), F.lit(END).cast("bigint"))
-        t = own.select("s", F.explode(F.map_keys("m")).alias("i"), "m").select("s", "i", *[name(F.col("i") + j * step).alias(f"n{j}") for j in range(3)])
-        held = durable(_named(t, ["n0", "n1", "n2"], "r").select("s", "i", "r"))
-        step *= 3
-    own = held.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("m"))
-    every = strings.join(own, "s", "left").select("s", "symbols", "m", F.posexplode("symbols").alias("i", "c0"))
-    rank = lambda j: F.coalesce(F.try_element_at("m", F.col("i") + j), F.when((F.col("i") + j) % 3 != 0, F.lit(END).cast("bigint")))
-    return every.select("s", "i", "c0", at("symbols", F.col("i") + 1).alias("c1"), *[rank(j).alias(f"r{j}") for j in range(3)])
+#: Rows of a sorted partition, about.
+ROWS = 200_000
+#: The classes of each order, and the key by which it compares them.
+ORDERS = (((0, 1), ("c0", "r1")), ((0, 2), ("c0", "c1", "r2")), ((1, 2), ("r0",)))
+
+
+def _sorted(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows in order of the key over some partitions, with ``_p``, the partition's number in that order."""
+    n = max(1, min(shuffle_parts(rows.sparkSession), rows.count() // ROWS + 1))
+    return durable(rows.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("_p", F.spark_partition_id()))
+
+
+def _before(keys: DataFrame, key: list[str], counts: list[str]) -> DataFrame:
+    """Distinct keys with, for each count, its sum over the keys before."""
+    held = _sorted(keys, key)
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = held.groupBy("_p").agg(*[F.sum(c).alias(c) for c in counts])
+    parts = parts.select("_p", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in counts])
+    own = Window.partitionBy("_p").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    return held.join(F.broadcast(parts), "_p").select(*key, *[(F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"_{c}")).alias(c) for c in counts])
+
+
+def _named(rows: DataFrame, key: list[str], name: str) -> tuple[DataFrame, bool]:
+    """rows with the number of rows whose key is smaller, and whether all keys differ."""
+    keys = durable(rows.groupBy(*key).agg(F.count("*").alias(name)))
+    unique = keys.filter(F.col(name) > 1).isEmpty()
+    return rows.join(_before(keys, key, [name]), key), unique
+
+
+def ranked(strings: DataFrame, symbols: int | None = None) -> DataFrame:
+    """(s, i, rank) of every suffix of strings(s, symbols: array<bigint>): the number of smaller suffixes.  With
+    ``symbols``, suffixes that agree in so many at least may share a rank (the recursion then ends as soon as names stand
+    for as many)."""
+    strings = durable(strings.filter(F.size("symbols") > 0))
+    at = lambda j: F.coalesce(F.get("symbols", F.col("i") + j), F.lit(END).cast("bigint"))
+    longest = strings.agg(F.max(F.size("symbols"))).first()[0] or 0
+    every = strings.select("s", "symbols", F.posexplode("symbols").alias("i", "c0"))
+    triples = every.select("s", "i", "c0", at(1).alias("c1"), at(2).alias("c2"))
+    if longest <= 3 or (symbols or longest) <= 3:
+        return _named(triples, ["c0", "c1", "c2"], "rank")[0].select("s", "i", "rank")
+    names, unique = _named(triples.filter(F.col("i") % 3 != 0), ["c0", "c1", "c2"], "r")
+    held = durable(names.select("s", "i", "r"))
+    if not unique:
+        # the names of a class are a string: of s, class k, place i it is string 2s+k-1, place i//3
+        mine = held.select((F.col("s") * 2 + F.col("i") % 3 - 1).alias("s"), F.struct(F.floor(F.col("i") / 3).cast("int").alias("i"), "r").alias("x"))
+        inner = mine.groupBy("s").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("symbols"))
+        ranks = ranked(inner, symbols and -(-symbols // 3))
+        held = durable(ranks.select(F.floor(F.col("s") / 2).cast("bigint").alias("s"), (F.col("i") * 3 + F.pmod("s", F.lit(2)) + 1).cast("int").alias("i"), F.col("rank").alias("r")))
+    return _merged(strings, triples, held)
+
+
+def _merged(strings: DataFrame, triples: DataFrame, sample: DataFrame) -> DataFrame:
+    """(s, i, rank) from the ranks (s, i, r) of the positions 1 and 2 modulo 3."""
+    behind = sample.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("m"))
+    rank = lambda j: F.coalesce(F.try_element_at("m", F.col("i") + j), F.lit(END).cast("bigint"))
+    rows = durable(triples.join(behind, "s", "left").select("s", "i", (F.col("i") % 3).alias("k"), "c0", "c1", *[rank(j).alias(f"r{j}") for j in range(3)]))
+    smaller: list[Column] = []
+    for (a, b), key in ORDERS:
+        mine, name = list(key), f"{a}{b}"
+        some = rows.filter(F.col("k").isin(a, b))
+        keys = some.groupBy(*mine).agg(*[F.sum((F.col("k") == k).cast("bigint")).alias(f"n{name}_{k}") for k in (a, b)])
+        ahead = _before(keys, mine, [f"n{name}_{a}", f"n{name}_{b}"])
+        # classes outside the order find no key of theirs
+        rows = rows.withColumn("_k", F.when(F.col("k").isin(a, b), F.lit(1))).join(ahead.withColumn("_k", F.lit(1)), ["_k", *mine], "left").drop("_k")
+    count = lambda k, other: F.col(f"n{min(k, other)}{max(k, other)}_{other}")
+    for k in range(3):
+        others = [x for x in range(3) if x != k]
+        own = F.col(f"n{min(k, others[0])}{max(k, others[0])}_{k}")
+        smaller.append(F.when(F.col("k") == k, own + count(k, others[0]) + count(k, others[1])))
+    return durable(rows.select("s", "i", F.coalesce(*smaller).alias("rank")))
 
 
 def repeated(suffixes: DataFrame) -> DataFrame:
-    """(s, i) of the suffixes, of ranked() with a ``prefix`` (a number for the leading symbols that are compared),
-    whose prefix an adjacent one has in one of the three orders."""
-    k = F.col("i") % 3
-    orders = [(k != 2, ["c0", "r1"]), (k != 1, ["c0", "c1", "r2"]), (k != 0, ["r0"])]
-    out = None
-    for classes, key in orders:
-        got = _adjacent(suffixes.filter(classes).select("s", "i", "prefix", *key), key)
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
-
-
-def _adjacent(rows: DataFrame, key: list[str]) -> DataFrame:
-    n = shuffle_parts(rows.sparkSession)
-    order = [*key, "s", "i"]
-    held = durable(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()))
+    """(s, i) of the suffixes(s, i, rank, prefix), prefix being a number for the leading symbols that are compared, whose
+    prefix an adjacent suffix in the order has."""
+    held = _sorted(suffixes.select("s", "i", "rank", "prefix"), ["rank", "s", "i"])
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = part = None
         for pdf in batches:
             if len(pdf):
-                part = int(pdf["p"].iat[0])
+                part = int(pdf["_p"].iat[0])
                 first = pdf["prefix"].iat[0] if first is None else first
                 last = pdf["prefix"].iat[-1]
         if part is not None:
@@ -89,7 +121,7 @@ def _adjacent(rows: DataFrame, key: list[str]) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            part = int(pdf["p"].iat[0]) if part is None else part
+            part = int(pdf["_p"].iat[0]) if part is None else part
             pdf = pdf[["s", "i", "prefix"]] if wait is None else pd.concat([wait, pdf[["s", "i", "prefix"]]], ignore_index=True)
             x = pdf["prefix"].to_numpy()
             up = x[1:] == x[:-1]
