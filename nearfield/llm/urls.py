@@ -1,6 +1,6 @@
 """URL filters: rules by host suffix and path prefix, then logistic regression on hashed character n-grams.
 
-The model has 2**16 weights over the 3- to 5-grams of ``^host$`` and of ``/path`` (each kind hashed with its own
+The model has 2**16 weights over the 3- to 5-grams of ``^host$`` (less its top-level domain) and of ``/path`` (each kind hashed with its own
 seed), trained on the driver from a small labelled URL table (a file beside this module, or the caller's) of at most
 TRAIN_MAX rows.  The weights (256 kB) are the only thing sent to the workers; scoring is one pass over the URLs in Arrow
 batches, nothing shuffled.
@@ -29,9 +29,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """Bucket numbers of a URL's n-grams."""
+    """Bucket numbers of a URL's n-grams; the top-level domain is left out, which tells little and would decide for hosts
+    of few letters."""
     out = []
-    for seed, s in ((17, f"^{host}$"), (91, path)):
+    for seed, s in ((17, f"^{host.rpartition('.')[0] or host}$"), (91, path)):
         b = np.frombuffer(s.encode("utf-8", "replace"), "u1").astype("u8")
         for n in GRAMS:
             if len(b) >= n:

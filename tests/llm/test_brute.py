@@ -286,7 +286,7 @@ def test_url_model_held_out():
     assert sum((urls.score(w, b, *urls.parts(u)) > 0) == bool(y) for u, y in table) >= 0.99 * len(table)
     held = [(h, 1) for h in UNWANTED] + [(h, 0) for h in WANTED]
     right = sum((urls.score(w, b, h, "/a/b") > 0) == bool(y) for h, y in held)
-    assert right >= 0.88 * len(held), right
+    assert right >= 0.9 * len(held), right
 
 
 def test_urls_against_brute_force(spark, sf):
