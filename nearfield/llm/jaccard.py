@@ -15,9 +15,10 @@ this repeats until no bucket has two components that a comparison joins; then th
 still in different components, and whose bit sketches (XOR folds of their shingles) allow it, are all compared.
 Large buckets are cut into blocks for that, and blocks are compared by twos.  Comparisons are exact.
 
-Edge cases: NULL and empty texts have empty sets, and link with nothing; rows that repeat, and rows with one id,
-are one document (they get one component); NULL ids are ignored when the smallest id is taken; an empty table gives
-an empty result; other columns are ignored.
+Edge cases: NULL and empty texts have empty sets, and link with nothing; rows that repeat are one document (they get
+one component), rows that share an id get their own text's; NULL ids are ignored when the smallest id is taken, and a
+component of such rows only has NULL; a very long text is hashed whole, alone in its slice of a batch; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import beside, compact, documents, durable, values, written
+from nearfield.llm.common import beside, compact, documents, durable, small, values, written
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -91,17 +92,22 @@ def fold(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _blobs(docs: DataFrame, text: str, groups: int) -> DataFrame:
-    """(p, keys, nodes): packed entries of all texts, by the leading bits of the sketch."""
+    """(p, keys, nodes): packed entries of all texts, by the leading bits of the sketch.  A task sends those of equal sets
+    once, so that a text's copies, however many, count once a task."""
     shift = U(64 - (groups.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for (held,) in values(batches):
             texts, ks, ns = folded(held), [], []
             for lo, hi in chunks(texts):
                 for s in shingle_sets(texts[lo:hi], SHINGLE):
+                    if not len(s) or (node := node_of(s)) in done:
+                        continue
+                    done.add(node)
                     if len(k := keys(s)):
                         ks.append(k)
-                        ns.append(np.full(len(k), node_of(s), "i8"))
+                        ns.append(np.full(len(k), node, "i8"))
             if not ks:
                 continue
             k, v = np.concatenate(ks), np.concatenate(ns)
@@ -295,22 +301,23 @@ def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, named): (_id, n, node) of every row, and (_id, node, c) of the rows with a set, c being the component."""
+    """(rows, roots): (_id, n, node) of every row, and (node, root) of the linked nodes."""
     held = durable(nodes(docs, id_col, text_col))
     total = held.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
     groups = max(1 << (max(1, total // GROUP) - 1).bit_length(), 1)
     blobs = _blobs(docs, text_col, groups)
     found = compact(blobs.groupBy("p").applyInPandas(_buckets, "bucket bigint, node bigint").dropDuplicates(["bucket", "node"]))
-    roots = _roots(docs, text_col, found)
-    return held, held.filter("node is not null").select("_id", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    return held, small(_roots(docs, text_col, found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): a row for each row of docs."""
-    held, named = _linked(docs, id_col, text_col)
-    least = named.groupBy("c").agg(F.min("_id").alias("component_id"))
+    held, roots = _linked(docs, id_col, text_col)
+    # a row a node from here on: copies of one text, however many, are added up before they meet
+    own = held.filter("node is not null").groupBy("node").agg(F.min("_id").alias("_least")).join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    least = own.groupBy("c").agg(F.min("_least").alias("component_id"))
+    by_node = own.select("node", "c").join(least, "c").select("node", "component_id")
     # the row's own component: by node, as rows with one id may differ in text
-    by_node = named.select("node", "c").distinct().join(least, "c").select("node", "component_id")
     out = held.join(by_node, "node", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
@@ -332,7 +339,7 @@ def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     links = compact(_links(tried, sets))
     roots = components(links)
     for last in (False, True):
-        label = compact(found.withColumn("node", F.col("x.node")).join(roots, "node", "left").select("bucket", "node", "x", F.coalesce("root", "node").alias("c")))
+        label = compact(found.withColumn("node", F.col("x.node")).join(small(roots), "node", "left").select("bucket", "node", "x", F.coalesce("root", "node").alias("c")))
         if last:
             new = _rest(label.drop("x"), sketches).join(tried, ["a", "b"], "left_anti")
         else:
@@ -357,7 +364,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if c in solid and "map<" not in kind]
     row = F.struct(*[F.col(f"`{c}`") for c in solid]).alias("_row")
     rows = written(docs.select(row, F.monotonically_increasing_id().alias("_k"), F.xxhash64(*hashed).alias("_h")), "near")
-    _, named = _linked(rows.select("_k", F.col("_row")[text_col].alias("_t")), "_k", "_t")
+    held, roots = _linked(rows.select("_k", F.col("_row")[text_col].alias("_t")), "_k", "_t")
+    named = held.filter("node is not null").select("_id", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
     order = rows.select(F.col("_k").alias("_id"), F.struct(F.col("_row")[id_col].isNull().alias("none"), F.col("_row")[id_col].alias("id"), "_h", "_k").alias("_o"))
     named = durable(named.select("_id", "c").join(order, "_id"))
     first = named.groupBy("c").agg(F.min("_o").alias("_o")).select(F.col("_o._k").alias("_id"))
