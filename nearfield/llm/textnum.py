@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import xxhash
@@ -58,29 +57,35 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] ^ ((end - start).astype(U) << U(40)))
 
 
-#: Distinct words whose hashes a worker remembers.
-WORDS_HELD = 1 << 20
-
-
-class _Hashes(dict):
-    """XXH3 of a word, remembered.  (Sums of powers would do for bytes of a window, but not for words: unlike words of a
-    thousand letters can be made whose sums agree.)"""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_hash = _Hashes()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+#: Bytes of a word that are hashed in steps of eight, all words at once; a longer word is hashed alone.
+SHORT = 64
 
 
 def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each text and the end): words are runs of other bytes than 9-13 and 32."""
-    words = [t.split() for t in texts]
-    at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype("i8")
-    return np.fromiter(map(_hash.__getitem__, chain.from_iterable(words)), U, int(at[-1])), at
+    """(hash of every word, first word of each text and the end): words are runs of other bytes than 9-13 and 32.
+
+    Eight bytes at a time are taken up by a bijection of 64 bits, so that words of up to eight bytes have hashes of their
+    own and no sum of powers relates longer ones; words of over SHORT bytes have XXH3's."""
+    whole = b"\n".join([*texts, b""]) + bytes(8)
+    buf = np.frombuffer(whole, "u1")[:-8]
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    gap = np.concatenate([[True], _SPACE[buf], [True]])
+    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    size = end - start
+    eight = np.ndarray((max(len(whole) - 7, 1),), "<u8", whole, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(U) * U(_BASE))
+    live, at = np.arange(len(start)), 0
+    while len(live) and at < SHORT:
+        if at:
+            live = live[size[live] > at]
+        out[live] = mix(out[live] ^ (eight[start[live] + at] & _MASK[np.minimum(size[live] - at, 8)]))
+        at += 8
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[start[i] : end[i]])
+    return out, np.searchsorted(start, begin)
 
 
 def shingle_sets(texts: Sequence[bytes], n: int = 5) -> list[np.ndarray]:
