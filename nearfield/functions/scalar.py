@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield import __version__
+from nearfield import texts as M
 from nearfield.errors import VectorError
 
 ELEMENTS = ("float32", "int8", "bit")
@@ -30,7 +31,7 @@ def _checked(ok: Column, value: Column, message: str | Column) -> Column:
 
 def _not_null(c: Column, value: Column, strict: bool) -> Column:
     if strict:
-        return F.when(c.isNull(), _fail("Input must be a vector, found NULL").cast("void")).otherwise(value)
+        return F.when(c.isNull(), _fail(M.NULL_VECTOR).cast("void")).otherwise(value)
     return F.when(c.isNotNull(), value)
 
 
@@ -44,23 +45,23 @@ def vec_f32(text: Column, strict: bool = True) -> Column:
     """float32 vector from JSON text; empty vectors, bad numbers, NaN and infinities are errors."""
     v = F.transform(_tokens(text), lambda x: x.try_cast("float"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    v = _checked(fine, v, "JSON parsing error: not a finite number")
-    v = _checked(F.size(v) > 0, v, "zero-length vectors are not supported.")
-    return _not_null(text, _checked(text.rlike(r"^\s*\["), v, "JSON array parsing error: Input does not start with '['"), strict)
+    v = _checked(fine, v, M.BAD_NUMBER)
+    v = _checked(F.size(v) > 0, v, M.ZERO_LENGTH)
+    return _not_null(text, _checked(text.rlike(r"^\s*\["), v, M.NO_BRACKET), strict)
 
 
 def vec_int8(text: Column, strict: bool = True) -> Column:
     """int8 vector from JSON text; values beyond [-128, 127] are errors."""
     v = F.transform(_tokens(text), lambda x: x.try_cast("bigint"))
-    v = _checked(F.forall(v, lambda x: x.isNotNull() & x.between(-128, 127)), v, "value out of range for int8")
-    v = _checked(F.size(v) > 0, v, "zero-length vectors are not supported.")
-    v = _checked(text.rlike(r"^\s*\["), v, "JSON array parsing error: Input does not start with '['")
+    v = _checked(F.forall(v, lambda x: x.isNotNull() & x.between(-128, 127)), v, M.INT8_RANGE)
+    v = _checked(F.size(v) > 0, v, M.ZERO_LENGTH)
+    v = _checked(text.rlike(r"^\s*\["), v, M.NO_BRACKET)
     return _not_null(text, F.transform(v, lambda x: x.cast("tinyint")), strict)
 
 
 def vec_bit(blob: Column, strict: bool = True) -> Column:
     """bit vector: the bytes as they are; empty input is an error."""
-    return _not_null(blob, _checked(F.octet_length(blob) > 0, blob, "zero-length vectors are not supported."), strict)
+    return _not_null(blob, _checked(F.octet_length(blob) > 0, blob, M.ZERO_LENGTH), strict)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -69,12 +70,12 @@ def vec_f32_blob(blob: pd.Series) -> pd.Series:
 
     def read(b: bytes | None) -> np.ndarray:
         if b is None:
-            raise VectorError("Input must be a vector, found NULL")
+            raise VectorError(M.NULL_VECTOR)
         if not len(b) or len(b) % 4:
-            raise VectorError(f"invalid float32 vector BLOB length. Must be divisible by 4, found {len(b)}")
+            raise VectorError(M.BLOB_LENGTH.format(len(b)))
         v = np.frombuffer(b, "<f4")
         if not np.isfinite(v).all():
-            raise VectorError("float32 vector holds NaN or infinity")
+            raise VectorError(M.NOT_FINITE)
         return v
 
     return blob.map(read, na_action=None)
@@ -86,7 +87,7 @@ def vec_int8_blob(blob: pd.Series) -> pd.Series:
 
     def read(b: bytes | None) -> np.ndarray:
         if not b:
-            raise VectorError("Input must be a vector, found NULL" if b is None else "zero-length vectors are not supported.")
+            raise VectorError(M.NULL_VECTOR if b is None else M.ZERO_LENGTH)
         return np.frombuffer(b, "i1")
 
     return blob.map(read, na_action=None)
@@ -117,7 +118,7 @@ def vec_type(v: Column, elem: str = "float32") -> Column:
 def same_length(a: Column, b: Column, value: Column, elem: str = "float32") -> Column:
     """value, after a check that both vectors have the same length (zip_with would pad silently)."""
     n, m = vec_length(a, elem), vec_length(b, elem)
-    said = F.format_string("Vector dimension mismatch: first has %d dimensions, second has %d dimensions.", n, m)
+    said = F.format_string(M.DIMENSIONS, n, m)
     return F.when(n == m, value).when(a.isNull() | b.isNull(), None).otherwise(_fail(said).cast("void"))
 
 
@@ -127,7 +128,7 @@ def _wrapped(x: Column) -> Column:
 
 def _elementwise(a: Column, b: Column, elem: str, op) -> Column:
     if elem == "bit":
-        raise VectorError("Cannot add or subtract two bit vectors together.")
+        raise VectorError(M.BIT_ARITHMETIC)
     if elem == "int8":
         made = F.zip_with(a, b, lambda x, y: _wrapped(op(x.cast("int"), y.cast("int"))))
     else:
@@ -147,36 +148,42 @@ def vec_sub(a: Column, b: Column, elem: str = "float32") -> Column:
 def vec_slice(v: Column, start: int, end: int, elem: str = "float32") -> Column:
     """Elements [start, end)."""
     if start < 0 or end < 0:
-        raise VectorError("slice 'start' and 'end' indices must be positive numbers")
+        raise VectorError(M.SLICE_POSITIVE)
     if start > end:
-        raise VectorError("slice 'start' index is greater than 'end' index")
+        raise VectorError(M.SLICE_ORDER)
     if start == end:
-        raise VectorError("slice 'start' index is equal to the 'end' index, vectors must have non-zero length")
+        raise VectorError(M.SLICE_EMPTY)
     n = vec_length(v, elem)
     if elem == "bit":
         if start % 8 or end % 8:
-            raise VectorError("start and end index must be divisible by 8.")
+            raise VectorError(M.SLICE_BITS)
         part = F.substring(v, start // 8 + 1, (end - start) // 8)
     else:
         part = F.slice(v, start + 1, end - start)
-    return F.when(n >= end, part).when(v.isNull(), None).otherwise(_fail("slice 'end' index is greater than the number of dimensions").cast("void"))
+    return F.when(n >= end, part).when(v.isNull(), None).otherwise(_fail(M.SLICE_END).cast("void"))
 
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value computed once for the row: within a lambda an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def vec_normalize(v: Column) -> Column:
     """v over its Euclidean norm; a zero vector gives NaN elements."""
-    norm = F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.transform(v, lambda x: F.when(norm > 0, F.try_divide(x.cast("double"), norm)).otherwise(float("nan")).cast("float"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(v.isNotNull(), _bound(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, F.try_divide(x.cast("double"), n)).otherwise(float("nan")).cast("float"))))
 
 
-def bits(v: Column) -> Column:
-    """ARRAY<INT> of 0 and 1 of a bit vector, lowest bit of each byte first."""
-    octet = lambda i: F.conv(F.hex(F.substring(v, F.shiftright(i, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    places = F.sequence(F.lit(0), F.octet_length(v) * 8 - 1)
-    return F.transform(places, lambda i: F.shiftright(octet(i), 0).bitwiseAND(F.pow(F.lit(2), i % 8).cast("int")).cast("boolean").cast("int"))
+def bits(v: Column, msb: bool = False) -> Column:
+    """ARRAY<INT> of 0 and 1 of a bit vector, lowest bit of each byte first (msb: highest)."""
+    octets = lambda h: F.transform(F.sequence(F.lit(0), F.octet_length(v) - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    order = range(7, -1, -1) if msb else range(8)
+    each = lambda o: F.array(*[F.shiftright(o, j).bitwiseAND(1) for j in order])
+    return _bound(F.hex(v), lambda h: F.flatten(F.transform(octets(h), each)))
 
 
 def vec_to_json(v: Column, elem: str = "float32") -> Column:
@@ -195,7 +202,7 @@ def vec_quantize_binary(v: Column, zero_is_one: bool = False) -> Column:
     bit = (lambda x: (x >= 0).cast("int")) if zero_is_one else (lambda x: (x > 0).cast("int"))
     at = lambda i, j: bit(F.get(v, i * 8 + j)) * (1 << j)
     octets = F.transform(F.sequence(F.lit(0), (F.size(v) / 8).cast("int") - 1), lambda i: F.lpad(F.hex(sum((at(i, j) for j in range(1, 8)), at(i, 0))), 2, "0"))
-    return _checked(F.size(v) % 8 == 0, F.unhex(F.array_join(octets, "")), "Binary quantization requires vectors with a length divisible by 8")
+    return _checked(F.size(v) % 8 == 0, F.unhex(F.array_join(octets, "")), M.BINARY_LENGTH)
 
 
 STEP = float(np.float32(2.0) / np.float32(255.0))
@@ -208,7 +215,7 @@ def vec_quantize_int8(v: Column, kind: str = "unit") -> Column:
     elif kind.lower() == "sym127":
         code = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * 127.0
     else:
-        raise VectorError("2nd argument to vec_quantize_int8() must be 'unit'.")
+        raise VectorError(M.INT8_KIND)
     return F.transform(v, lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), code(x))).cast("tinyint"))
 
 
@@ -251,10 +258,7 @@ def distance(a: Column, b: Column, elem: str, metric: str) -> Column:
 def vec_each(v: Column, elem: str = "float32", msb: bool = False) -> Column:
     """Generator of (rowid from 0, value).  msb: bits of each byte highest first."""
     if elem == "bit":
-        b = bits(v)
-        if msb:
-            b = F.transform(b, lambda _, i: F.get(bits(v), i - i % 8 + 7 - i % 8))
-        return F.posexplode(b).alias("rowid", "value")
+        return F.posexplode(bits(v, msb)).alias("rowid", "value")
     return F.posexplode(v).alias("rowid", "value")
 
 
@@ -266,28 +270,97 @@ def vec_debug() -> str:
     return f"Version: {vec_version()}\nEngine: Catalyst expressions and Arrow kernels"
 
 
+# The SQL functions.  Spark has one signature a name, so that a function whose result depends on the element type has
+# a name for each (vec_add, vec_add_int8); those that only need to tell types apart take any vector, as a VARIANT.
+# int8 vectors are exact as float32, and serve as ARRAY<FLOAT> wherever the result is no vector.
+
+
+def _said(text: str) -> str:
+    return "raise_error('" + text.replace("'", "\\'") + "')"
+
+
+def _same(n: str, m: str, value: str) -> str:
+    """value, after a check of both lengths; NULL if a vector is NULL."""
+    return f"CASE WHEN {n} = {m} THEN {value} WHEN {n} IS NULL OR {m} IS NULL THEN NULL ELSE raise_error(format_string('{M.DIMENSIONS}', {n}, {m})) END"
+
+
+def _sql_sum(array: str) -> str:
+    return f"aggregate({array}, 0D, (s, x) -> s + x)"
+
+
+def _sql_slice(n: str, part: str, bit: bool = False) -> str:
+    octet = f" WHEN lo % 8 <> 0 OR hi % 8 <> 0 THEN {_said(M.SLICE_BITS)}" if bit else ""
+    return f"CASE WHEN v IS NULL THEN NULL WHEN lo < 0 OR hi < 0 THEN {_said(M.SLICE_POSITIVE)} WHEN lo > hi THEN {_said(M.SLICE_ORDER)} WHEN lo = hi THEN {_said(M.SLICE_EMPTY)}{octet} WHEN hi > {n} THEN {_said(M.SLICE_END)} ELSE {part} END"
+
+
+_TOKENS = r"filter(split(regexp_extract(t, '^\\s*\\[([^\\]]*)', 1), '[\\s,]+'), x -> x <> '')"
+
+
+def _sql_json(cast: str, fine: str, wrong: str, element: str) -> str:
+    """A vector from JSON text; NULL and all else that is no vector are errors."""
+    body = f"transform({_TOKENS}, x -> try_cast(x AS {cast}))"
+    checked = f"CASE WHEN size(v) = 0 THEN {_said(M.ZERO_LENGTH)} WHEN NOT forall(v, x -> {fine}) THEN {_said(wrong)} ELSE transform(v, x -> cast(x AS {element})) END"
+    return rf"CASE WHEN t IS NULL THEN {_said(M.NULL_VECTOR)} WHEN NOT t RLIKE '^\\s*\\[' THEN {_said(M.NO_BRACKET)} ELSE transform(array({body}), v -> {checked})[0] END"
+
+
+def _sql_text(texts: str) -> str:
+    return f"concat('[', array_join({texts}, ','), ']')"
+
+
+_NORM = "sqrt(aggregate(v, 0D, (s, x) -> s + cast(x AS DOUBLE) * x))"
+_WORDS = "transform(sequence(0, cast(ceil(octet_length({0}) / 4) AS INT) - 1), i -> cast(conv(hex(substring({0}, i * 4 + 1, 4)), 16, 10) AS BIGINT))"
+_OCTETS = "transform(sequence(0, octet_length(v) - 1), i -> cast(conv(hex(substring(v, i + 1, 1)), 16, 10) AS INT))"
+
+
+def _sql_bits(order: range) -> str:
+    return f"flatten(transform({_OCTETS}, o -> array({', '.join(f'shiftright(o, {j}) & 1' for j in order)})))"
+
+
+_KIND = "CASE WHEN v IS NULL THEN NULL WHEN schema_of_variant(v) = 'BINARY' THEN 'bit' WHEN schema_of_variant(v) = 'ARRAY<BIGINT>' THEN 'int8' ELSE 'float32' END"
+_INT8_TEXT = _sql_text("transform(try_variant_get(v, '$', 'array<bigint>'), x -> cast(x AS STRING))")
+_FLOAT_TEXT = _sql_text("transform(try_variant_get(v, '$', 'array<float>'), x -> format_string('%f', x))")
+_UNIT = f"transform(v, x -> cast(greatest(-128D, least(127D, (cast(x AS DOUBLE) + 1D) / {STEP!r}D - 128D)) AS TINYINT))"
+_SYM = "transform(v, x -> cast(greatest(-1D, least(1D, cast(x AS DOUBLE))) * 127D AS TINYINT))"
+_OCTET = " + ".join(f"if(v[i * 8 + {j}] > 0, {1 << j}, 0)" for j in range(8))
+_SQUARES = _sql_sum("zip_with(a, b, (x, y) -> (cast(x AS DOUBLE) - y) * (cast(x AS DOUBLE) - y))")
+_DOT = _sql_sum("zip_with(a, b, (x, y) -> cast(x AS DOUBLE) * y)")
+_LENGTHS = " * ".join(f"sqrt({_sql_sum(f'transform({c}, x -> cast(x AS DOUBLE) * x)')})" for c in "ab")
+_APART = _sql_sum(f"zip_with({_WORDS.format('a')}, {_WORDS.format('b')}, (x, y) -> bit_count(x ^ y))")
+_WRAP = "zip_with(a, b, (x, y) -> cast(pmod(cast(x AS INT) {} y + 128, 256) - 128 AS TINYINT))"
 _SQL = {
-    "vec_length(v ARRAY<FLOAT>) RETURNS INT": "size(v)",
-    "vec_type(v ARRAY<FLOAT>) RETURNS STRING": "IF(v IS NULL, NULL, 'float32')",
-    "vec_add(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS ARRAY<FLOAT>": "IF(size(a) = size(b), zip_with(a, b, (x, y) -> cast(x + y AS FLOAT)), raise_error('Vector dimension mismatch'))",
-    "vec_sub(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS ARRAY<FLOAT>": "IF(size(a) = size(b), zip_with(a, b, (x, y) -> cast(x - y AS FLOAT)), raise_error('Vector dimension mismatch'))",
-    "vec_add_int8(a ARRAY<TINYINT>, b ARRAY<TINYINT>) RETURNS ARRAY<TINYINT>": "zip_with(a, b, (x, y) -> cast(pmod(cast(x AS INT) + y + 128, 256) - 128 AS TINYINT))",
-    "vec_sub_int8(a ARRAY<TINYINT>, b ARRAY<TINYINT>) RETURNS ARRAY<TINYINT>": "zip_with(a, b, (x, y) -> cast(pmod(cast(x AS INT) - y + 128, 256) - 128 AS TINYINT))",
-    "vec_slice(v ARRAY<FLOAT>, lo INT, hi INT) RETURNS ARRAY<FLOAT>": "IF(lo >= 0 AND lo < hi AND hi <= size(v), slice(v, lo + 1, hi - lo), raise_error('slice indices out of range'))",
-    "vec_to_json(v ARRAY<FLOAT>) RETURNS STRING": "concat('[', array_join(transform(v, x -> format_string('%f', x)), ','), ']')",
-    "vec_quantize_int8(v ARRAY<FLOAT>) RETURNS ARRAY<TINYINT>": f"transform(v, x -> cast(greatest(-128D, least(127D, (cast(x AS DOUBLE) + 1D) / {STEP!r}D - 128D)) AS TINYINT))",
-    "vec_distance_l2(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": "IF(size(a) = size(b), sqrt(aggregate(zip_with(a, b, (x, y) -> (cast(x AS DOUBLE) - y) * (cast(x AS DOUBLE) - y)), 0D, (s, x) -> s + x)), raise_error('Vector dimension mismatch'))",
-    "vec_distance_l1(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": "IF(size(a) = size(b), aggregate(zip_with(a, b, (x, y) -> abs(cast(x AS DOUBLE) - y)), 0D, (s, x) -> s + x), raise_error('Vector dimension mismatch'))",
-    "vec_distance_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": "IF(size(a) = size(b), 1D - try_divide(aggregate(zip_with(a, b, (x, y) -> cast(x AS DOUBLE) * y), 0D, (s, x) -> s + x), sqrt(aggregate(transform(a, x -> cast(x AS DOUBLE) * x), 0D, (s, x) -> s + x)) * sqrt(aggregate(transform(b, x -> cast(x AS DOUBLE) * x), 0D, (s, x) -> s + x))), raise_error('Vector dimension mismatch'))",
-    "vec_distance_hamming(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0D, (s, x) -> s + x)",
+    "vec_version() RETURNS STRING": f"'{vec_version()}'",
+    "vec_debug() RETURNS STRING": repr(vec_debug()),
+    "vec_f32(t STRING) RETURNS ARRAY<FLOAT>": _sql_json("FLOAT", "x IS NOT NULL AND NOT isnan(x) AND abs(x) <> cast('Infinity' AS FLOAT)", M.BAD_NUMBER, "FLOAT"),
+    "vec_int8(t STRING) RETURNS ARRAY<TINYINT>": _sql_json("BIGINT", "x IS NOT NULL AND x BETWEEN -128 AND 127", M.INT8_RANGE, "TINYINT"),
+    "vec_bit(v BINARY) RETURNS BINARY": f"CASE WHEN v IS NULL THEN {_said(M.NULL_VECTOR)} WHEN octet_length(v) = 0 THEN {_said(M.ZERO_LENGTH)} ELSE v END",
+    "vec_length(v VARIANT) RETURNS INT": "CASE WHEN v IS NULL THEN NULL WHEN schema_of_variant(v) = 'BINARY' THEN octet_length(try_variant_get(v, '$', 'binary')) * 8 ELSE size(try_variant_get(v, '$', 'array<variant>')) END",
+    "vec_type(v VARIANT) RETURNS STRING": _KIND,
+    "vec_to_json_bit(v BINARY) RETURNS STRING": _sql_text(f"transform({_sql_bits(range(8))}, x -> cast(x AS STRING))"),
+    "vec_to_json(v VARIANT) RETURNS STRING": f"CASE {_KIND} WHEN 'bit' THEN vec_to_json_bit(try_variant_get(v, '$', 'binary')) WHEN 'int8' THEN {_INT8_TEXT} WHEN 'float32' THEN {_FLOAT_TEXT} END",
+    "vec_add(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS ARRAY<FLOAT>": _same("size(a)", "size(b)", "zip_with(a, b, (x, y) -> cast(x + y AS FLOAT))"),
+    "vec_sub(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS ARRAY<FLOAT>": _same("size(a)", "size(b)", "zip_with(a, b, (x, y) -> cast(x - y AS FLOAT))"),
+    "vec_add_int8(a ARRAY<TINYINT>, b ARRAY<TINYINT>) RETURNS ARRAY<TINYINT>": _same("size(a)", "size(b)", _WRAP.format("+")),
+    "vec_sub_int8(a ARRAY<TINYINT>, b ARRAY<TINYINT>) RETURNS ARRAY<TINYINT>": _same("size(a)", "size(b)", _WRAP.format("-")),
+    "vec_slice(v ARRAY<FLOAT>, lo INT, hi INT) RETURNS ARRAY<FLOAT>": _sql_slice("size(v)", "slice(v, lo + 1, hi - lo)"),
+    "vec_slice_int8(v ARRAY<TINYINT>, lo INT, hi INT) RETURNS ARRAY<TINYINT>": _sql_slice("size(v)", "slice(v, lo + 1, hi - lo)"),
+    "vec_slice_bit(v BINARY, lo INT, hi INT) RETURNS BINARY": _sql_slice("octet_length(v) * 8", "substring(v, cast(lo div 8 AS INT) + 1, cast((hi - lo) div 8 AS INT))", True),
+    "vec_normalize(v ARRAY<FLOAT>) RETURNS ARRAY<FLOAT>": f"CASE WHEN v IS NOT NULL THEN transform(array({_NORM}), n -> transform(v, x -> cast(if(n > 0, try_divide(cast(x AS DOUBLE), n), cast('NaN' AS DOUBLE)) AS FLOAT)))[0] END",
+    "vec_quantize_int8(v ARRAY<FLOAT>, kind STRING DEFAULT 'unit') RETURNS ARRAY<TINYINT>": f"CASE lower(kind) WHEN 'unit' THEN {_UNIT} WHEN 'sym127' THEN {_SYM} ELSE {_said(M.INT8_KIND)} END",
+    "vec_quantize_binary(v ARRAY<FLOAT>) RETURNS BINARY": f"CASE WHEN v IS NULL THEN NULL WHEN size(v) % 8 <> 0 THEN {_said(M.BINARY_LENGTH)} ELSE unhex(array_join(transform(sequence(0, cast(size(v) div 8 AS INT) - 1), i -> lpad(hex({_OCTET}), 2, '0')), '')) END",
+    "vec_distance_l2(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": _same("size(a)", "size(b)", f"sqrt({_SQUARES})"),
+    "vec_distance_l1(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": _same("size(a)", "size(b)", _sql_sum("zip_with(a, b, (x, y) -> abs(cast(x AS DOUBLE) - y))")),
+    "vec_distance_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": _same("size(a)", "size(b)", f"1D - try_divide({_DOT}, {_LENGTHS})"),
+    "vec_distance_hamming(a BINARY, b BINARY) RETURNS DOUBLE": _same("octet_length(a) * 8", "octet_length(b) * 8", _APART),
     "vec_each(v ARRAY<FLOAT>) RETURNS TABLE(rowid INT, value FLOAT)": "SELECT pos, col FROM posexplode(v)",
+    "vec_each_int8(v ARRAY<TINYINT>) RETURNS TABLE(rowid INT, value TINYINT)": "SELECT pos, col FROM posexplode(v)",
+    "vec_each_bit(v BINARY, msb BOOLEAN DEFAULT false) RETURNS TABLE(rowid INT, value INT)": f"SELECT pos, col FROM posexplode(if(msb, {_sql_bits(range(7, -1, -1))}, {_sql_bits(range(8))}))",
 }
 
 
 def register_all(spark: SparkSession) -> None:
-    """Temporary SQL functions; Catalyst inlines their bodies.  Those on Arrow read and write float32 bytes."""
+    """Temporary SQL functions; Catalyst inlines their bodies.  Those on Arrow read and write float32 and int8 bytes."""
     for head, body in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vec_version() RETURNS STRING RETURN '{vec_version()}'")
     spark.udf.register("vec_f32_blob", vec_f32_blob)
+    spark.udf.register("vec_int8_blob", vec_int8_blob)
     spark.udf.register("vec_to_blob", vec_to_blob)

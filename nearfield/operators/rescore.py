@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import VectorError
 from nearfield.functions import scalar as S
-from nearfield.plans.knn import K_MAX, Knn, check_k, literal
+from nearfield.plans.knn import _BOUNDS, K_MAX, Knn, check_k, literal
 
 OVERSAMPLE_MAX = 128
 
@@ -33,3 +33,20 @@ def search(knn: Knn, query: list[float], k: int, quantizer: str = "bit", oversam
     d = S.distance(F.col(name), code, quantizer, "hamming" if quantizer == "bit" else knn.metric)
     coarse = rows.select(knn.id_col, knn.column, d.alias("_coarse")).filter(F.col("_coarse").isNotNull()).orderBy("_coarse", knn.id_col).limit(min(check_k(k) * oversample, K_MAX))
     return Knn(coarse, knn.column, knn.id_col, knn.elem, knn.metric, bounds=knn.bounds).run(query, k)
+
+
+def batch(knn: Knn, queries: DataFrame, k: int, quantizer: str = "bit", oversample: int = 8, query_id: str = "query_id", query_col: str = "query", quantized: str | None = None) -> DataFrame:
+    """(query_id, id, distance, rank) for a table of queries: the k * oversample nearest by code of each, as a batch search
+    over the codes, then the k nearest of them by the exact distance."""
+    if not 1 <= oversample <= OVERSAMPLE_MAX:
+        raise VectorError(f"rescore oversample must be between 1 and {OVERSAMPLE_MAX}")
+    rows, asked = knn.filtered(), queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("query")).filter("query is not null")
+    elem, metric = ("bit", "hamming") if quantizer == "bit" else ("int8", knn.metric)
+    rows, name = rows.filter(F.col(knn.column).isNotNull()), quantized or "_code"
+    coarse = Knn(rows if quantized else build(rows, knn.column, quantizer, name), name, knn.id_col, elem, metric).batch(build(asked, "query", quantizer, "_code"), min(check_k(k) * oversample, K_MAX), "query_id", "_code")
+    d = S.distance(F.col(knn.column), F.col("query"), knn.elem, knn.metric)
+    near = coarse.select("query_id", knn.id_col).join(asked, "query_id").join(rows.select(knn.id_col, knn.column), knn.id_col)
+    pairs = near.select("query_id", knn.id_col, d.alias("distance")).filter("distance is not null")
+    for op, x in knn.bounds:
+        pairs = pairs.filter(_BOUNDS[op](F.col("distance"), F.lit(float(x))))
+    return knn._ranked(pairs, k)

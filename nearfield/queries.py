@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -9,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield.errors import VectorError
 from nearfield.functions import scalar as S
 from nearfield.operators import hybrid, rescore
 from nearfield.operators.graph import GraphIndex
@@ -16,7 +18,7 @@ from nearfield.operators.ivf import IvfIndex
 from nearfield.operators.recall import missed, recall_at_k, vec_mean
 from nearfield.plans.knn import Knn, range_join
 from nearfield.sources.table import VecTable
-from nearfield.streaming.ingest import windowed_counts
+from nearfield.streaming.ingest import session_counts, windowed_counts
 
 K = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +50,11 @@ def vector(spark: SparkSession, sf: str, i: int = 0) -> list[float]:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and the executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/nearfield"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise VectorError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="nearfield-")
     return f"{base}/tables/{uuid.uuid4().hex}"
 
 
@@ -247,14 +253,16 @@ def _batch_oracle(which: str, k: int) -> str:
     return _RANKED.format(d=_dist("l2", "e.embedding", "q.embedding"), which=which, k=k)
 
 
-query("knn_batch", _batch_oracle("vec_id < 10", K))(lambda s, sf: rounded(knn(s, sf).batch(_asked(s, sf, "vec_id < 10"), K)))
-query("knn_rank", _batch_oracle("vec_id < 10", K))(lambda s, sf: rounded(knn(s, sf).batch_sql(_asked(s, sf, "vec_id < 10"), K)))
-query("knn_self_join", _batch_oracle("vec_id % 50 = 0", 5))(lambda s, sf: rounded(knn(s, sf).batch(_asked(s, sf, "vec_id % 50 = 0"), 5)))
+#: The stated query set of every batch search.
+_EVERY = "vec_id % 50 = 0"
+query("knn_batch", _batch_oracle(_EVERY, K))(lambda s, sf: rounded(knn(s, sf).batch(_asked(s, sf, _EVERY), K)))
+query("knn_rank", _batch_oracle(_EVERY, K))(lambda s, sf: rounded(knn(s, sf).batch_sql(_asked(s, sf, _EVERY), K)))
+query("knn_self_join", _batch_oracle(_EVERY, 5))(lambda s, sf: rounded(knn(s, sf).batch(_asked(s, sf, _EVERY), 5)))
 
 
-@query("knn_topk_array", "SELECT query_id, to_json(list(vec_id ORDER BY rank))::VARCHAR AS ids FROM (" + _batch_oracle("vec_id < 10", K) + ") GROUP BY query_id")
+@query("knn_topk_array", "SELECT query_id, to_json(list(vec_id ORDER BY rank))::VARCHAR AS ids FROM (" + _batch_oracle(_EVERY, K) + ") GROUP BY query_id")
 def _(s, sf):
-    top = knn(s, sf).batch(_asked(s, sf, "vec_id < 10"), K)
+    top = knn(s, sf).batch(_asked(s, sf, _EVERY), K)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r["vec_id"])
     return top.groupBy("query_id").agg(F.to_json(ids).alias("ids"))
 
@@ -339,12 +347,46 @@ query("ivf_knn_nprobe", _PROBED.format(n=3))(_ivf_search(3))
 
 @query("ivf_trained_recall")
 def _(s, sf):
-    """Recall of a trained index, query by query."""
+    """Recall of a trained and calibrated index, query by query."""
+    return _ivf_recall(s, sf)
+
+
+def _ivf_recall(s, sf) -> DataFrame:
     e = table(s, sf, "embeddings")
-    ivf, path = IvfIndex.train(e, 16, nprobe=6), shared_folder(s)
-    ivf.write(ivf.assign(e), path)
-    asked = _asked(s, sf, "vec_id % 50 = 0")
-    return recall_at_k(ivf.batch(s.read.parquet(path), asked, K), knn(s, sf).batch(asked, K))
+    ivf, path = IvfIndex.train(e, 16).calibrated(e, K), shared_folder(s)
+    ivf.store(ivf.assign(e), path)
+    asked = _asked(s, sf, _EVERY)
+    ivf, rows = IvfIndex.open_stored(s, path)
+    return recall_at_k(ivf.batch(rows, asked, K), knn(s, sf).batch(asked, K))
+
+
+#: Whether an approximate search of the stated query set reaches a mean recall of 0.9.
+_REACHED = f"SELECT count(*) AS n_queries, TRUE AS reached FROM embeddings WHERE {_EVERY}"
+
+
+def _reached(recalls: DataFrame) -> DataFrame:
+    return recalls.agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
+query("ivf_recall_reached", _REACHED)(lambda s, sf: _reached(_ivf_recall(s, sf)))
+
+_CENTRES = "(SELECT * FROM embeddings WHERE vec_id < 8)"
+_PROBES = f"SELECT q.vec_id AS query_id, c.vec_id::INT AS cell FROM (SELECT * FROM embeddings WHERE {_EVERY}) q, {_CENTRES} c QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dist('l2', 'c.embedding', 'q.embedding')}, c.vec_id) <= 3"
+
+
+@query("ivf_knn_batch", f"WITH cells AS ({_CELLS}), p AS ({_PROBES}) SELECT query_id, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM (SELECT p.query_id, e.vec_id, {_dist('l2', 'e.embedding', 'q.embedding')} AS d FROM p JOIN cells e USING (cell) JOIN embeddings q ON q.vec_id = p.query_id) QUALIFY rank <= {K}")
+def _(s, sf):
+    ivf, cells = _stored_cells(s, sf)
+    return rounded(ivf.batch(cells, _asked(s, sf, _EVERY), K))
+
+
+def _coarse_pairs(code: str) -> str:
+    return f"SELECT q.vec_id AS query_id, e.vec_id, e.embedding, q.embedding AS q FROM embeddings e, (SELECT * FROM embeddings WHERE {_EVERY}) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {code}, e.vec_id) <= {K * 8}"
+
+
+@query("rescore_bit_batch", f"SELECT query_id, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM (SELECT *, {_dist('l2')} AS d FROM ({_coarse_pairs(_hamming('>=', 'e.embedding', 'q.embedding'))})) QUALIFY rank <= {K}")
+def _(s, sf):
+    return rounded(rescore.batch(knn(s, sf), _asked(s, sf, _EVERY), K))
 
 
 _COARSE = f"(SELECT vec_id FROM ({_rescore_oracle(_hamming('>='))}))"
@@ -361,13 +403,26 @@ def _(s, sf):
     return missed(rescore.search(knn(s, sf), vector(s, sf), K), knn(s, sf).run(vector(s, sf), K))
 
 
-@query("graph_recall")
-def _(s, sf):
-    e = table(s, sf, "embeddings")
-    g, asked = GraphIndex(degree=32, width=64, shard_rows=512), _asked(s, sf, "vec_id % 50 = 0")
-    path = shared_folder(s)
-    g.build(e).write.parquet(path)
-    return recall_at_k(g.search(s.read.parquet(path), asked, K), knn(s, sf).batch(asked, K))
+def _graph(s, sf, quantizer: str | None = None) -> tuple[GraphIndex, DataFrame]:
+    g, path = GraphIndex(degree=32, width=64, shard_rows=512, quantizer=quantizer), shared_folder(s)
+    g.build(table(s, sf, "embeddings")).write.parquet(path)
+    return g, s.read.parquet(path)
+
+
+def _graph_recall(s, sf, quantizer: str | None = None, width: int = 64, gone: str = "false", repaired: bool = False) -> DataFrame:
+    """Recall by the graph, rows with ``gone`` being passed over, or taken out with their links repaired."""
+    (g, index), e, asked = _graph(s, sf, quantizer), table(s, sf, "embeddings"), _asked(s, sf, _EVERY)
+    ids = e.filter(gone).select("vec_id")
+    found = g.search(g.delete(index, ids), asked, K, width) if repaired else g.search(index, asked, K, width, deleted=ids)
+    return recall_at_k(found, knn(s, sf).where(~F.expr(gone)).batch(asked, K))
+
+
+query("graph_recall")(_graph_recall)
+query("graph_recall_reached", _REACHED)(lambda s, sf: _reached(_graph_recall(s, sf)))
+query("graph_int8_reached", _REACHED)(lambda s, sf: _reached(_graph_recall(s, sf, "int8")))
+query("graph_binary_reached", _REACHED)(lambda s, sf: _reached(_graph_recall(s, sf, "binary", 256)))
+query("graph_passed_over_reached", _REACHED)(lambda s, sf: _reached(_graph_recall(s, sf, gone="vec_id % 3 = 1")))
+query("graph_repaired_reached", _REACHED)(lambda s, sf: _reached(_graph_recall(s, sf, gone="vec_id % 3 = 1", repaired=True)))
 
 
 # --- hybrid search ---------------------------------------------------------------------------------------------
@@ -406,33 +461,115 @@ def _made(s, sf) -> VecTable:
 
 
 def _state(t: VecTable) -> DataFrame:
-    first = F.round(F.get("embedding", F.lit(0)).cast("double"), 6)
-    return t.df().select("vec_id", F.col("label").cast("int").alias("label"), first.alias("first"))
+    """A row an element of every vector."""
+    return t.df().select("vec_id", F.col("label").cast("int").alias("label"), F.posexplode("embedding").alias("pos", "x")).select("vec_id", "label", "pos", F.round(F.col("x").cast("double"), 6).alias("value"))
+
 
+def _changed(label: str = "label", element: str = "x", where: str = "TRUE", source: str = "embeddings") -> str:
+    each = f"SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM {source} WHERE {where}"
+    return f"SELECT vec_id, {label} AS label, (pos - 1)::INT AS pos, round(({element})::DOUBLE, 6) AS value FROM ({each})"
 
-@query("dml_replace", "SELECT vec_id, CASE WHEN vec_id < 5 THEN 3 ELSE label END AS label, round((CASE WHEN vec_id < 5 THEN -embedding[1] ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings")
+
+@query("dml_insert", _changed(source="(SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, 77, embedding FROM embeddings WHERE vec_id < 3)"))
+def _(s, sf):
+    t = _made(s, sf)
+    t.insert(table(s, sf, "embeddings").filter("vec_id < 3").withColumns({"vec_id": F.col("vec_id") + 1000000, "label": F.lit(77)}))
+    return _state(t)
+
+
+@query("dml_replace", _changed("CASE WHEN vec_id < 5 THEN 3 ELSE label END", "CASE WHEN vec_id < 5 THEN -x ELSE x END"))
 def _(s, sf):
     t = _made(s, sf)
     t.replace(table(s, sf, "embeddings").filter("vec_id < 5").withColumns({"label": F.lit(3), "embedding": F.transform("embedding", lambda x: -x)}))
     return _state(t)
 
 
-@query("dml_delete", "SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 7 <> 0")
+@query("dml_delete", _changed(where="vec_id % 7 <> 0"))
 def _(s, sf):
     t = _made(s, sf)
     t.delete(F.col("vec_id") % 7 == 0)
     return _state(t)
 
 
-@query("dml_update", "SELECT vec_id, label, round((CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings")
+@query("dml_update", _changed(element="CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE x END"))
 def _(s, sf):
     t = _made(s, sf)
     t.update({"embedding": F.transform("embedding", lambda x: x * 0)}, F.col("vec_id") % 5 == 0)
     return _state(t)
 
 
+# --- tables that search by the index they declare
+
+
+def _table(s, sf, index: str) -> VecTable:
+    t = VecTable.create(s, shared_folder(s), f"vec_id integer primary key, label integer, embedding float[64] indexed by {index}")
+    t.insert(table(s, sf, "embeddings"))
+    t.build_index()
+    return t
+
+
+query("table_rescore_bit", _rescore_oracle(_hamming(">=")))(lambda s, sf: rounded(_table(s, sf, "rescore(quantizer=bit)").knn().run(vector(s, sf), K)))
+query("table_ivf_all_cells", _top(_dist("l2"), "label < 7"))(lambda s, sf: rounded(_table(s, sf, "ivf(nlist=16, nprobe=16)").knn().where(F.col("label") < 7).run(vector(s, sf), K)))
+query("table_ivf_batch", _batch_oracle(_EVERY, K))(lambda s, sf: rounded(_table(s, sf, "ivf(nlist=16, nprobe=16)").knn().batch(_asked(s, sf, _EVERY), K)))
+
+
+@query("table_diskann_reached", _REACHED)
+def _(s, sf):
+    """After a delete, an insert that waits in the buffer and a search with a predicate."""
+    t = _table(s, sf, "diskann(neighbor_quantizer=int8, n_neighbors=32, search_list_size=64)")
+    t.delete(F.col("vec_id") % 5 == 1)
+    t.insert(table(s, sf, "embeddings").filter("vec_id % 10 = 1").select("vec_id", "label", "embedding"))
+    asked = _asked(s, sf, _EVERY)
+    exact = Knn(t.df(), "embedding").where(F.col("label") != 3).batch(asked, K)
+    return _reached(recall_at_k(t.knn().where(F.col("label") != 3).batch(asked, K), exact))
+
+
+# --- SQL functions
+
+
+def _sql(text: str, columns: str = "embedding"):
+    def run(s, sf):
+        S.register_all(s)
+        table(s, sf, "embeddings").createOrReplaceTempView("nearfield_embeddings")
+        return s.sql(text.replace("{Z}", "(SELECT embedding AS q FROM nearfield_embeddings WHERE vec_id = 0) z").replace("{E}", "nearfield_embeddings"))
+
+    return run
+
+
+_BITS8 = "list_transform(list_slice(embedding, 1, 8), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END)"
+query("sql_length_type", "SELECT vec_id, 64 AS n, 'float32' AS kind, 64 AS n8, 'int8' AS kind8, 64 AS n1, 'bit' AS kind1 FROM embeddings")(
+    _sql("SELECT vec_id, vec_length(embedding) AS n, vec_type(embedding) AS kind, vec_length(vec_quantize_int8(embedding)) AS n8, vec_type(vec_quantize_int8(embedding)) AS kind8, vec_length(vec_quantize_binary(embedding)) AS n1, vec_type(vec_quantize_binary(embedding)) AS kind1 FROM {E}")
+)
+query("sql_to_json", f"SELECT vec_id, '[' || array_to_string(list_transform({_I8.format(v='embedding')}, lambda x: x::INT::VARCHAR), ',') || ']' AS int8, '[' || array_to_string({_BITS8}, ',') || ']' AS bit, '[' || array_to_string(list_transform(list_slice(embedding, 3, 5), lambda x: format('{{:.6f}}', x::DOUBLE)), ',') || ']' AS float32 FROM embeddings")(
+    _sql("SELECT vec_id, vec_to_json(vec_quantize_int8(embedding)) AS int8, vec_to_json(vec_slice_bit(vec_quantize_binary(embedding), 0, 8)) AS bit, vec_to_json(vec_slice(embedding, 2, 5)) AS float32 FROM {E}")
+)
+query("sql_normalize", _each(_NORM.format(v="list_slice(embedding, 1, 16)")))(_sql("SELECT vec_id, pos, round(cast(x AS DOUBLE), 6) AS value FROM (SELECT vec_id, posexplode(v) AS (pos, x) FROM (SELECT vec_id, vec_normalize(vec_slice(embedding, 0, 16)) AS v FROM {E}))"))
+query("sql_int8_arithmetic", _each(_ZIP8.format(op="+"), "INT", _EMB))(_sql("SELECT vec_id, pos, cast(x AS INT) AS value FROM (SELECT vec_id, posexplode(v) AS (pos, x) FROM (SELECT vec_id, vec_add_int8(vec_quantize_int8(embedding), vec_quantize_int8(q)) AS v FROM {E}, {Z}))"))
+query("sql_distance_hamming", _top(_hamming()))(_sql(f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, vec_distance_hamming(vec_quantize_binary(embedding), vec_quantize_binary(q)) AS d FROM {{E}}, {{Z}}) ORDER BY d, vec_id LIMIT {K}"))
+query("sql_from_json", _each("list_transform(embedding, lambda x: round(x::DOUBLE, 6)::FLOAT)"))(_sql("SELECT vec_id, pos, round(cast(x AS DOUBLE), 6) AS value FROM (SELECT vec_id, posexplode(v) AS (pos, x) FROM (SELECT vec_id, vec_f32(vec_to_json(embedding)) AS v FROM {E}))"))
+query("sql_each_bit", f"SELECT vec_id, (pos - 1)::INT AS rowid, x::INT AS value FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM (SELECT vec_id, {_BITS8} AS v FROM embeddings))")(
+    _sql("SELECT e.vec_id, b.rowid, b.value FROM (SELECT vec_id, vec_slice_bit(vec_quantize_binary(embedding), 0, 8) AS v FROM {E}) e, LATERAL vec_each_bit(e.v) b")
+)
+query("sql_each_bit_msb", f"SELECT vec_id, (8 - pos)::INT AS rowid, x::INT AS value FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM (SELECT vec_id, {_BITS8} AS v FROM embeddings))")(
+    _sql("SELECT e.vec_id, b.rowid, b.value FROM (SELECT vec_id, vec_slice_bit(vec_quantize_binary(embedding), 0, 8) AS v FROM {E}) e, LATERAL vec_each_bit(e.v, true) b")
+)
+query("vec_version", f"SELECT '{S.vec_version()}' AS version, TRUE AS debug")(_sql(f"SELECT vec_version() AS version, contains(vec_debug(), '{S.vec_version()}') AS debug"))
+
+# --- streams' operators on tables
+
+
 @query("events_windowed", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(s, sf):
     return windowed_counts(table(s, sf, "events")).withColumn("total", F.round("total", 4))
 
 
+
+
+@query("events_sliding", "SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL '-30' MINUTE END]) AS start, event_type, value FROM events) GROUP BY ALL")
+def _(s, sf):
+    return windowed_counts(table(s, sf, "events"), "1 hour", step="30 minutes").withColumn("total", F.round("total", 4))
+
+
+@query("events_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, session")
+def _(s, sf):
+    return session_counts(table(s, sf, "events"), "2 hours").withColumn("total", F.round("total", 4))

@@ -31,8 +31,15 @@ def search_stream(queries: DataFrame, knn: Knn, k: int, out: str, checkpoint: st
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums of events by tumbling window and type, with a watermark; batch or stream."""
+def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", step: str | None = None) -> DataFrame:
+    """Counts and sums of events by type and window, tumbling or (with a step) sliding, with a watermark; batch or stream."""
     kept = events.withWatermark("ts", late) if events.isStreaming else events
-    w = F.window("ts", every)
+    w = F.window("ts", every, step) if step else F.window("ts", every)
     return kept.groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", by: str = "user_id") -> DataFrame:
+    """Counts and sums of each key's sessions, which end where no event follows within the gap; batch or stream."""
+    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    w = F.session_window("ts", gap)
+    return kept.groupBy(w, by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(by, F.col("session_window.start").alias("start"), "n", "total")

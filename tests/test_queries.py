@@ -11,7 +11,7 @@ def test_oracle(name, spark, sf, duck):
 
 
 def test_recall_queries(spark, sf):
-    for name, least in (("ivf_trained_recall", 0.5), ("graph_recall", 0.8)):
+    for name, least in (("ivf_trained_recall", 0.9), ("graph_recall", 0.9)):
         rows = QUERIES[name](spark, sf).collect()
         assert sum(r["recall"] for r in rows) / len(rows) >= least, name
 
