@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: White space as the contracts count it: space, and the control characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch that are Python objects at a time (a longer text is alone).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Rows of a table that is small enough to be sent to every task.
 BROADCAST_ROWS = 100_000
 
@@ -34,6 +35,18 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def bounded(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While it lasts, jobs send texts to Python in Arrow batches of so many bytes (the caller's setting is put back)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, so that a lost executor costs a reread."""
     shared_folder(df.sparkSession)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import beside, compact, documents, durable, small, values, written
+from nearfield.llm.common import beside, bounded, compact, documents, durable, small, values, written
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -302,12 +302,13 @@ def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): (_id, n, node) of every row, and (node, root) of the linked nodes."""
-    held = durable(nodes(docs, id_col, text_col))
-    total = held.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
-    groups = max(1 << (max(1, total // GROUP) - 1).bit_length(), 1)
-    blobs = _blobs(docs, text_col, groups)
-    found = compact(blobs.groupBy("p").applyInPandas(_buckets, "bucket bigint, node bigint").dropDuplicates(["bucket", "node"]))
-    return held, small(_roots(docs, text_col, found))
+    with bounded(docs.sparkSession):
+        held = durable(nodes(docs, id_col, text_col))
+        total = held.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+        groups = max(1 << (max(1, total // GROUP) - 1).bit_length(), 1)
+        blobs = _blobs(docs, text_col, groups)
+        found = compact(blobs.groupBy("p").applyInPandas(_buckets, "bucket bigint, node bigint").dropDuplicates(["bucket", "node"]))
+        return held, small(_roots(docs, text_col, found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import suffixes
-from nearfield.llm.common import beside, documents, durable, values
+from nearfield.llm.common import beside, bounded, documents, durable, values
 from nearfield.llm.textnum import Prefix, U, chunks, mix
 
 LENGTH, GRAM, BLOCK, LAST = 400, 16, 128, 8
@@ -250,14 +250,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("_id"), name(half(1), half(17)).alias("blob"), text.alias("text"))
     groups = 1 << (max(1, total // 75 // GROUP) - 1).bit_length()
     copies = blobs.groupBy("blob").agg(F.count("*").alias("c")).filter("c > 1").select("blob")
-    settled = durable(_entries(base.select("blob", "text"), groups).groupBy("p").applyInPandas(_settled, "blob bigint, places binary, open boolean"))
+    with bounded(docs.sparkSession):
+        settled = durable(_entries(base.select("blob", "text"), groups).groupBy("p").applyInPandas(_settled, "blob bigint, places binary, open boolean"))
     mine = settled.groupBy("blob").agg(F.collect_list("places").alias("places"))
     todo = settled.filter("open").groupBy("blob").agg(F.collect_list("places").alias("places"))
     rows = _cut_open(base.select("blob", "text").join(todo, "blob")).dropDuplicates(["blob", "anchor", "base", "hi"])
     found = None
     block = BLOCK
     while block > LAST:
-        rows = durable(rows.mapInPandas(_halved(block), _PIECE))
+        with bounded(docs.sparkSession):
+            rows = durable(rows.mapInPandas(_halved(block), _PIECE))
         block //= 2
         got, rows = _settle(rows)
         found = got if found is None else found.unionByName(got)
