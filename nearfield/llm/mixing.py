@@ -7,19 +7,21 @@ round), until a bucket is one hash value.  Nothing is sorted, no row leaves its
 budgets always hold the documents of smaller ones.
 
 Documents at the final hash value give a leading part of their words, in proportion, so that the mix meets its
-target to within a word a document there.  Edge cases: a NULL text has size 0 and is never taken; a NULL source is
-a source of its own (last in order); NULL ids are hashed as an empty string; rows that repeat share a hash and so
-are treated alike; an empty table gives an empty result; other columns are ignored.
+target to within a word a document there.  Targets and thresholds are tables of a row a source.
+
+Edge cases: a NULL or empty text has size 0 and is never taken; a NULL source is a source of its own (last in order);
+NULL ids are hashed as an empty string; rows that repeat share a hash and so are treated alike; a very long text counts
+whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, durable
+from nearfield.llm.common import documents, durable, small
 
 HASH_BITS, STEP = 60, 12
 
@@ -33,45 +35,51 @@ def id_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
-def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], share: float, cap: float) -> dict[str | None, float]:
-    """Target of each source: share of all sizes by the weights (repeating, over sources by code point, None last),
-    none above cap times its size; the excess goes to the others by weight, until none is above."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {s: float(weights[i % len(weights)]) for i, (s, _) in enumerate(order)}
-    total, out = share * sum(n for _, n in order), {}
-    open_, left = dict(order), float(total)
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        over = [s for s, n in open_.items() if unit * weight[s] > cap * n]
-        if not over:
-            return out | {s: unit * weight[s] for s in open_}
-        for s in over:
-            out[s] = cap * open_.pop(s)
-        left = float(total) - sum(out.values())
-    return out
+def weighted(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """sizes(source, n) with the weight w of each source: the weights in turn, over sources by code point, NULL last.  Places
+    come from a range-partitioned sort: a row a partition gives the number of sources before it."""
+    spark = sizes.sparkSession
+    key = [F.col("source").isNull(), F.col("source")]
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), sizes.count() // 100_000 + 1)
+    held = durable(sizes.repartitionByRange(parts, *key).withColumn("_p", F.spark_partition_id()))
+    before = held.groupBy("_p").agg(F.count("*").alias("m")).select("_p", F.coalesce(F.sum("m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*key)) - 1 + F.col("_before")
+    every = F.array(*[F.lit(float(w)) for w in weights])
+    return durable(held.join(F.broadcast(before), "_p").select("source", "n", F.get(every, (place % len(weights)).cast("int")).alias("w")))
+
+
+def targets(sources: DataFrame, share: float, cap: float) -> DataFrame:
+    """(source, n, target) of sources(source, n, w): share of all sizes by the weights, none above cap times its size; the
+    excess goes to the others by weight, until none is above.  A round is one row of sums: the words a unit of weight gets
+    rise, and sources that are at their cap stay there, so that the rounds end."""
+    full = F.lit(float(cap)) * F.col("n")
+    total = share * (sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    unit, capped = 0.0, -1
+    while True:
+        over = F.col("w") * F.lit(unit) > full if capped >= 0 else F.lit(False)
+        now = sources.agg(F.coalesce(F.sum(F.when(over, 1)), F.lit(0)).alias("m"), F.sum(F.when(~over, F.col("w"))).alias("w"), F.coalesce(F.sum(F.when(over, full)), F.lit(0.0)).alias("held")).first()
+        if now["m"] == capped:
+            break
+        capped, unit = now["m"], (total - now["held"]) / now["w"] if now["w"] else float("inf")
+        if not now["w"]:
+            break
+    own = F.col("w") * F.lit(unit)
+    return sources.select("source", "n", F.when(own > full, full).otherwise(own).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), shares: Sequence[float] = (1.5,), cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """(id, keep, size, source, source_size, target, taken) for each document and, with several shares, target_i and taken_i
     of the nested mixes.  The text is read once, for its size and hash; what follows reads that narrow table.  With
-    ``keep`` (columns of docs) the rows come from a second pass over docs, so that texts are never joined by id.
-
-    One row a source comes to the driver, for the reshared targets: a corpus has a bounded number of sources.
-    """
-    spark = docs.sparkSession
+    ``keep`` (columns of docs) the rows come from a second pass over docs, so that texts are never joined by id.  Sources may
+    be any number: their table is sent to the tasks while it is small, and joined beyond that."""
     columns = [F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("_h")]
     narrow = durable(docs.select(F.col(id_col), *columns))
-    sizes = [(r["source"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    source_size = dict(sizes)
+    sources = weighted(durable(narrow.groupBy("source").agg(F.sum("size").alias("n"))), weights)
     out = docs.select(F.col(id_col), *[F.col(c) for c in keep], *columns) if keep else narrow
     for i, share in enumerate(shares):
         tail = f"_{i}" if i else ""
-        target = targets(sizes, weights, share, cap)
-        whole = {s: int(target[s] // n) if n else 0 for s, n in sizes}
-        # (source, target, times all are taken, words wanted beyond)
-        plan = [(s, n, float(target[s]), whole[s], target[s] - whole[s] * n) for s, n in sizes]
-        table = spark.createDataFrame(_thresholds(narrow, plan), "_s string, _n bigint, _target double, _times bigint, _lo bigint, _want bigint, _tie bigint")
-        joined = out.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")), "left")  # a row a source
+        table = small(_thresholds(narrow, targets(sources, share, cap)))
+        joined = out.join(table, F.col("source").eqNullSafe(F.col("_s")), "left")
         at = F.col("_h") == F.col("_lo")
         part = F.when(F.col("_h") < F.col("_lo"), F.col("size")).when(at & (F.col("_tie") > 0), F.floor(F.col("size") * F.col("_want") / F.col("_tie"))).otherwise(0)
         cols = [c for c in out.columns]
@@ -79,31 +87,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), shares: Sequence[
     return out.drop("_h")
 
 
-def _thresholds(narrow: DataFrame, plan: list[tuple]) -> list[tuple]:
-    """plan with, for each source, the hash _lo below which documents are taken once more, the words _want that are
-    still wanted from the documents at _lo, and the size _tie of these."""
-    spark = narrow.sparkSession
-    state = {s: [0, round(rest)] for s, _, _, _, rest in plan}  # start of the open bucket, words wanted from there on
-    ties: dict = {}
+def _thresholds(narrow: DataFrame, target: DataFrame) -> DataFrame:
+    """(_s, _n, _target, _times, _lo, _want, _tie) of each source: how often all its documents are taken, the hash _lo below
+    which they are taken once more, the words _want that are still wanted from those at _lo, and the size _tie of these.  A
+    round sums the sizes of the open bucket's parts (all buckets first) and finds, by running sums over at most 4,096
+    rows a source, the part in which the budget ends."""
+    times = F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n"))).otherwise(0).cast("bigint")
+    state = target.select(F.col("source").alias("_s"), F.col("n").alias("_n"), F.col("target").alias("_target"), times.alias("_times"))
+    state = durable(state.select("*", F.lit(0).cast("bigint").alias("_lo"), F.round(F.col("_target") - F.col("_times") * F.col("_n")).cast("bigint").alias("_want"), F.lit(0).cast("bigint").alias("_tie")))
     for used in range(0, HASH_BITS, STEP):
         shift = HASH_BITS - used - STEP  # the bits below this round's bucket number
-        wanted = [(s, lo >> (shift + STEP)) for s, (lo, want) in state.items() if want > 0]
-        if not wanted:
-            break
-        open_ = F.broadcast(spark.createDataFrame(wanted, "_s string, _b bigint"))
-        own = narrow.join(open_, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_h", shift + STEP) == F.col("_b")))
-        sums = own.groupBy("_s", F.shiftright("_h", shift).alias("_b")).agg(F.sum("size").alias("n")).filter("n > 0")
-        found: dict = {}
-        for r in sums.collect():  # at most 4096 sums a source
-            found.setdefault(r["_s"], []).append((r["_b"], r["n"]))
-        for s, _ in wanted:
-            lo, want = state[s]
-            for b, n in sorted(found.get(s, [])):
-                if n >= want:
-                    state[s], ties[s] = [b << shift, want], n
-                    break
-                want -= n
-    return [(s, n, t, times, state[s][0], state[s][1], ties.get(s, 0)) for s, n, t, times, _ in plan]
+        own = narrow
+        if used:
+            open_ = small(state.filter("_want > 0").select(F.col("_s").alias("_o"), F.shiftright("_lo", shift + STEP).alias("_b")))
+            own = narrow.join(open_, F.col("source").eqNullSafe(F.col("_o")) & (F.shiftright("_h", shift + STEP) == F.col("_b")))
+        sums = own.groupBy(F.col("source").alias("_o"), F.shiftright("_h", shift).alias("_part")).agg(F.sum("size").alias("_m")).filter("_m > 0")
+        run = Window.partitionBy("_o").orderBy("_part")
+        wanted = sums.withColumn("_c", F.sum("_m").over(run)).join(small(state.select(F.col("_s").alias("_q"), F.col("_want").alias("_w"))), F.col("_o").eqNullSafe(F.col("_q")))
+        ends = wanted.filter("_w > 0 and _c >= _w and _c - _m < _w").select("_o", (F.shiftleft("_part", shift)).alias("_at"), (F.col("_w") - F.col("_c") + F.col("_m")).alias("_rest"), "_m")
+        new = {"_lo": F.coalesce("_at", "_lo"), "_want": F.coalesce("_rest", "_want"), "_tie": F.coalesce("_m", "_tie")}
+        state = durable(state.join(small(durable(ends)), F.col("_s").eqNullSafe(F.col("_o")), "left").withColumns(new).select(*state.columns))
+    return state
 
 
 ORACLE_SQL = r"""
@@ -127,5 +131,3 @@ SELECT doc_id, size, n AS source_size, target,
 
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
-
-

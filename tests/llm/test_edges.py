@@ -107,6 +107,41 @@ def test_one_of_each_decides_by_row(spark):
         assert kept(some[::-1]) == left
 
 
+def test_mix_of_many_sources_and_shares(spark, monkeypatch):
+    """Targets by a plain loop, the mix near them, nested mixes, and the same without a broadcast."""
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(0, 40), None if i % 50 == 0 else f"s{min(rng.randrange(40), rng.randrange(40))}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    shares = (1.5, 0.2, 5.0)
+    want = {}
+    for i, share in enumerate(shares):
+        done, open_ = {}, set(order)
+        while open_:
+            unit = (share * sum(size.values()) - sum(done.values())) / sum(weight[s] for s in open_)
+            over = {s for s in open_ if unit * weight[s] > 2 * size[s]}
+            done |= {s: 2.0 * size[s] for s in over} or {s: unit * weight[s] for s in open_}
+            open_ = open_ - over if over else set()
+        want[i] = done
+    got = mixing.mix(d, shares=shares).collect()
+    assert len(got) == 3000
+    for i, tail in enumerate(("", "_1", "_2")):
+        taken = dict.fromkeys(order, 0)
+        for r in got:
+            assert abs(r[f"target{tail}"] - want[i][r["source"]]) < 1e-6 and 0 <= r[f"taken{tail}"] <= 2 * r["size"]
+            taken[r["source"]] += r[f"taken{tail}"]
+        assert all(abs(taken[s] - want[i][s]) <= 1 for s in order)
+    assert all(r["taken_1"] <= r["taken"] <= r["taken_2"] for r in got)
+    from nearfield.llm import common
+
+    monkeypatch.setattr(common.small, "__defaults__", (3,))
+    assert sorted(map(str, mixing.mix(d, shares=shares).collect())) == sorted(map(str, got))
+
+
 def test_redaction_and_rows_without_ids(spark):
     d = spark.createDataFrame([(None, 'a password = "abcdefghijkl" é z', 33), (None, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r["text"]: r["n_chars"] for r in secrets.redacted(d, length_col="n_chars").collect()}
