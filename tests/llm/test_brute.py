@@ -15,12 +15,15 @@ SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_jaccard(spark):
-    fold = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+FOLD = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def linked(texts):
+    """{id: (size of its set, smallest id that links reach)}, from all pairs."""
     sets = {}
-    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
-        w = WORD.findall((r["text"] or "").translate(fold))
-        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for i, t in texts.items():
+        w = WORD.findall((t or "").translate(FOLD))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
     root = {i: i for i in sets}
 
     def find(x):
@@ -34,8 +37,68 @@ def test_jaccard(spark):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.query(spark, SMALL).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.query(spark, SMALL).collect()} == linked(texts)
+
+
+def redacted(text):
+    """Every secret replaced, by plain regular expressions over the text."""
+    rules = [(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", 12), (r"(AKIA[A-Z0-9]+)", 18), (r"([0-9a-f]+)", 16)]
+    rules += [(r"(-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----)", 1), (r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1)]
+    gone = [False] * len(text)
+    for pattern, least in rules:
+        for m in re.finditer(pattern, text):
+            if len(m[1]) >= least:
+                gone[m.start() : m.end()] = [True] * (m.end() - m.start())
+    assert "PRIVATE KEY" not in text  # whole keys are in test_edges
+    spans = [m.span() for m in re.finditer("1+", "".join("01"[g] for g in gone))]
+    out, at = "", 0
+    for x, y in spans:
+        out, at = out + text[at:x] + "[REDACTED]", y
+    return out + text[at:]
+
+
+def test_pipeline_against_brute_force(spark):
+    """run() on a whole table, against its five stages by plain programs."""
+    from corpus_pipeline import run
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    left = {i: docs[i]["text"] for i in brute_kept(spark)}
+    assert 100 < len(left) < len(docs)
+    least = linked(left)
+    left = {i: t for i, t in left.items() if least[i][0] == 0 or least[i][1] == i}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
+    windows = set()
+    for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[j : j + 10]) for j in range(max(1, len(w) - 9)) if w}
+    hit = lambda w: any(tuple(w[j : j + n]) in windows for n in {len(x) for x in windows} for j in range(len(w) - n + 1))
+    left = {i: redacted(t) for i, t in left.items() if not hit(words(t))}
+    size, weight = {}, {}
+    for i, t in left.items():
+        size[docs[i]["source"]] = size.get(docs[i]["source"], 0) + len(WORD.findall(t))
+    for j, s in enumerate(sorted(size)):
+        weight[s] = (5, 2, 1)[j % 3]
+    target, open_ = {}, set(size)
+    while open_:
+        unit = (1.5 * sum(size.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if unit * weight[s] > 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in over} or {s: unit * weight[s] for s in open_}
+        open_ = open_ - over if over else set()
+    got = run(spark, SMALL).collect()
+    taken = dict.fromkeys(size, 0)
+    for r in got:
+        assert r["text"] == left[r["doc_id"]] and r["n_chars"] == len(r["text"]) and r["lang"] == docs[r["doc_id"]]["lang"]
+        assert 0 < r["taken"] <= 2 * r["size"] and abs(r["target"] - target[r["source"]]) < 1e-6
+        taken[r["source"]] += r["taken"]
+    assert len({r["doc_id"] for r in got}) == len(got)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    # what is taken once whole is there whole
+    assert {i for i in left if target[docs[i]["source"]] >= size[docs[i]["source"]] and WORD.search(left[i])} <= {r["doc_id"] for r in got}
 
 
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
@@ -131,32 +194,38 @@ def smallest_determinant(x, tries=150):
     return best
 
 
-def test_quality_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    stats = quality._statistics(docs, ["doc_id"], "text", "lang", "source")
+def brute_kept(spark, found=None):
+    """The ids that the quality rules keep, by exact searches for the smallest determinants."""
+    stats = quality._statistics(spark.read.parquet(f"{SMALL}/documents.parquet"), ["doc_id"], "text", "lang", "source")
     usable = [r for r in stats.collect() if not r["base_failed"]]
-    found = {r["g"]: r for r in quality.estimates(stats.filter("not base_failed")).collect()}
-    groups = defaultdict(list)
+    groups, shapes = defaultdict(list), {}
     for r in usable:
         for own in ((), (r["_lang"],), (r["_lang"], r["_source"])):
             groups[own].append([r[c] for c in quality.NAMES])
-    names = {own: json.dumps({"level": len(own)} | {k: v for k, v in zip(("_lang", "_source"), own) if v is not None}, separators=(",", ":"), ensure_ascii=False) for own in groups}
-    shapes = {}
     for own, x in groups.items():
-        assert found[names[own]]["n"] == len(x)
+        name = json.dumps({"level": len(own)} | {k: v for k, v in zip(("_lang", "_source"), own) if v is not None}, separators=(",", ":"), ensure_ascii=False)
+        assert found is None or found[name]["n"] == len(x)
         if len(x) >= quality.MIN_ROWS:
             det, m, v = smallest_determinant(np.array(x))
             shapes[own] = m, np.linalg.inv(v)
             # halves are cut at a bin of distances, so that they may be some rows larger
-            assert found[names[own]]["logdet"] <= det + 0.25, (own, found[names[own]]["logdet"], det)
+            assert found is None or found[name]["logdet"] <= det + 0.25, (own, found[name]["logdet"], det)
     assert len(shapes) >= 3
-    got = {r["doc_id"]: r for r in quality.query(spark, SMALL).collect()}
-    assert len(got) == docs.count()
+    out = set()
     for r in usable:
         m, w = next(shapes[own] for own in ((r["_lang"], r["_source"]), (r["_lang"],), ()) if own in shapes)
         x = np.array([r[c] for c in quality.NAMES])
-        assert got[r["doc_id"]]["kept"] == ((x - m) @ w @ (x - m) <= quality.CUT), (r["doc_id"], got[r["doc_id"]]["distance"], (x - m) @ w @ (x - m))
-    assert all(not r["kept"] for r in got.values() if r["base_failed"])
+        if (x - m) @ w @ (x - m) <= quality.CUT:
+            out.add(r["doc_id"])
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    stats = quality._statistics(spark.read.parquet(f"{SMALL}/documents.parquet"), ["doc_id"], "text", "lang", "source")
+    found = {r["g"]: r for r in quality.estimates(stats.filter("not base_failed")).collect()}
+    got = quality.query(spark, SMALL).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == brute_kept(spark, found)
+    assert len(got) == 200 and all(not r["kept"] for r in got if r["base_failed"])
 
 
 def test_quality_of_a_small_table(spark):
