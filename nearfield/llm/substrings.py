@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import suffixes
-from nearfield.llm.common import beside, bounded, documents, durable, values
+from nearfield.llm.common import beside, bounded, documents, durable, small, values
 from nearfield.llm.textnum import Prefix, U, chunks, mix
 
 LENGTH, GRAM, BLOCK, LAST = 400, 16, 128, 8
@@ -104,9 +104,11 @@ def _entries(texts: DataFrame, groups: int) -> DataFrame:
     shift = U(64 - (groups.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for blobs, texts in values(batches):
             blob, got = np.array(blobs, "i8"), []
-            parts = [(i, o, t) for i, x in enumerate(texts) for o, t in _segments((x or "").encode("utf-8", "surrogatepass")) if len(t) >= LENGTH]
+            first = [i for i, x in enumerate(blobs) if x not in done and not done.add(x)]  # copies count once a task
+            parts = [(i, o, t) for i, x in ((i, texts[i]) for i in first) for o, t in _segments((x or "").encode("utf-8", "surrogatepass")) if len(t) >= LENGTH]
             for lo, hi in chunks([t for *_, t in parts]):
                 text, start, high, n, core, span = pieces([t for *_, t in parts[lo:hi]])
                 if len(text):
@@ -207,9 +209,10 @@ def _halved(block: int):
 def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repeated, open): of pieces with core and span, the intervals found repeated, and the rows that go on."""
     spans = rows.groupBy("core", "span").agg(F.count("*").alias("n"), F.max("known").alias("k"), F.min(F.struct("blob", "anchor", "base", "lo")).alias("first"))
-    spans = spans.withColumn("twice", F.col("k") | (F.col("n") > 1))
-    cores = spans.groupBy("core").agg(F.count("*").alias("m"), F.sum(F.when(F.col("twice"), 0).otherwise(1)).alias("opened"))
-    marked = durable(rows.join(spans.select("core", "span", "twice", "first"), ["core", "span"]).join(cores, "core"))
+    # what is joined stands written: a join of such splits a core or span of any number of pieces
+    spans = durable(spans.withColumn("twice", F.col("k") | (F.col("n") > 1)))
+    cores = small(durable(spans.groupBy("core").agg(F.count("*").alias("m"), F.sum(F.when(F.col("twice"), 0).otherwise(1)).alias("opened"))))
+    marked = durable(rows.join(small(spans.select("core", "span", "twice", "first")), ["core", "span"]).join(cores, "core"))
     found = marked.filter("twice and not known").select("blob", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).cast("bigint").alias("n"))
     first = F.struct("blob", "anchor", "base", "lo") == F.col("first")
     on = marked.filter((~F.col("twice") & (F.col("m") > 1)) | (F.col("twice") & (F.col("opened") > 0) & first))
