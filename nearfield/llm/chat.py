@@ -8,8 +8,10 @@ only texts of the template's loss roles carry loss.  JVM expressions only.
 Escaping: a backslash becomes two, and ``<|`` becomes ``<\\|``, so no control string can appear inside a text;
 a line feed in a role becomes a backslash and a line feed.  Reading back drops each escaping backslash.
 
-Edge cases: NULL text and NULL roles are empty; a NULL turn comes first, and equal turns go by role and text; rows
-that repeat are turns of their own; NULL conversation ids form one conversation; an empty table gives no rows.
+Edge cases: NULL and empty texts and roles are empty; a NULL turn comes first, and equal turns go by role and text; rows
+that repeat are turns of their own; NULL conversation ids form one conversation; a very long text or conversation stays
+whole (conversations() holds one in a row, turns() a turn); an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

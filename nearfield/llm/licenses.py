@@ -7,8 +7,8 @@ order, with no other sentence between.  Licences' own texts and notices are most
 line without a stop: for them the lines of a paragraph are joined before the cut, comment marks are dropped, and long
 sentences may end what a stop ends.  The identifiers given are those of the lines as they are.  JVM expressions only: one pass over the texts, nothing shuffled.
 
-Edge cases: NULL and empty texts have no sentences; rows that repeat get equal results; an empty table gives an
-empty result; other columns are ignored.
+Edge cases: NULL and empty texts have no sentences; rows that repeat get equal results; a very long text is read whole;
+ids are passed on as they are; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

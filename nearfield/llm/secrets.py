@@ -6,8 +6,11 @@ paths, and joins findings back to all paths; with a ledger of earlier runs only
 are read.  JVM expressions only.
 
 A rule is a pattern, and a condition on each leftmost non-overlapping match (matches that fail it still use up
-their text).  Spans are code points, end exclusive.  Edge cases: a NULL text is the empty blob; rows that repeat
-are paths to one blob; an empty table gives an empty result; other columns are ignored.
+their text).  Spans are code points, end exclusive.
+
+Edge cases: a NULL or empty text is the empty blob; rows that repeat are paths to one blob; NULL and repeated ids are
+paths of their own, found by their text; a very long text is scanned whole, its matches being rows; an empty table gives
+an empty result; other columns are ignored, whatever their names (redacted() keeps them as they are).
 """
 
 from __future__ import annotations
@@ -60,6 +63,24 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col:
     the join back to the paths is one that adaptive execution splits.  Matches become rows, and their places running
     sums over a blob's matches, so that a text with millions of matches takes linear time and spills.
     """
+    out, fresh = _scanned(docs, ledger, rules, id_col, text_col)
+    return out, fresh if ledger is None else ledger.select("blob", "pairs", "findings").unionByName(fresh)
+
+
+def scan_stored(docs: DataFrame, path: str, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """scan()'s paths, with the ledger kept as Parquet at ``path`` (a folder that driver and executors share): its rows are
+    read, where there are any, and this run's are added."""
+    spark = docs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    out, fresh = _scanned(docs, spark.read.parquet(path) if there else None, rules, id_col, text_col)
+    out = durable(out)  # the ledger that it reads grows next
+    fresh.write.mode("append").parquet(path)
+    return out
+
+
+def _scanned(docs: DataFrame, ledger: DataFrame | None, rules, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The paths with their findings, and the rows that this run adds to the ledger."""
     pairs = [f"{k}:{v}" for k, v, *_ in rules]
     rank = F.create_map(*[x for i, (k, *_) in enumerate(rules) for x in (F.lit(k), F.lit(i))])
     every = F.array(*[F.lit(x) for x in pairs])
@@ -88,7 +109,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col:
         hits = hits.select("blob", F.filter("findings", lambda f: F.exists(F.array_intersect("pairs", every), lambda x: F.split_part(x, F.lit(":"), F.lit(1)) == f["kind"])).alias("findings"))
         hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
     out = paths.join(hits.select("blob", "findings"), "blob", "left").select(F.col("_id").alias(id_col), "blob", F.coalesce("findings", none).alias("findings"))
-    return out, whole
+    return out, fresh
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", length_col: str | None = None, id_col: str = "doc_id") -> DataFrame:

@@ -17,8 +17,9 @@ loss, and the suffix array is built of what is still open.
 Whole texts that occur more than once (by a 128-bit digest) are repeated by that alone.  Counts use partial sums, and
 only hashes travel but for the open pieces.  A span counts as equal by its hash and its core's, 128 bits together.
 
-Edge cases: NULL is empty; texts under 400 bytes lose nothing; rows that repeat are copies of each other; NULL ids
-stay; an empty table gives an empty result; other columns are ignored.
+Edge cases: NULL is empty; texts under 400 bytes lose nothing; rows that repeat are copies of each other; ids of any
+type, NULL among them, stay as they are; a text of over 16 MB is cut into overlapping parts for the anchors and loses none
+of its windows; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
