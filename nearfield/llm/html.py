@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import beside, durable
+from nearfield.llm.common import beside, durable, written
 from nearfield.llm.urls import parts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -53,6 +53,8 @@ COMPOUND = frozenset(
 )
 
 
+#: Marks of shared lines that are sent to every task; more of them are joined by page.
+MARK_BYTES = 32 << 20
 #: Bits of a table of subsequences that is held at once (32 MB).
 TABLE_BITS = 1 << 28
 
@@ -324,29 +326,26 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     cut = lines if structure else lambda page: [(t, False, False) for t, _, _ in lines(page)]
 
-    def keyed(urls: list, texts: list) -> list[list]:
+    def parsed(urls: list, texts: list) -> list[list]:
         out = []
         for url, page in zip(urls, texts, strict=True):
             host, path = parts(url)
-            hashes = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, main, _ in cut(page) if not main]
-            out.append((_page_key(url, page), host, path, _QUERY.match(url or "")[1] or "", _page_key(None, page), hashes))
-        return [list(x) for x in zip(*out)]
-
-    def kept(urls: list, texts: list) -> list[list]:
-        out: tuple[list, list] = ([], [])
-        for url, page in zip(urls, texts, strict=True):
-            own, at = [], 0
+            own, hashes = [], []
             for text, main, named in cut(page):
                 if not named:
-                    own.append({"x": text, "at": -1 if main else at})
-                at += not main
-            out[0].append(_page_key(url, page))
-            out[1].append(own)
-        return list(out)
+                    own.append({"x": text, "at": -1 if main else len(hashes)})
+                if not main:
+                    hashes.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+            out.append((_page_key(url, page), host, path, _QUERY.match(url or "")[1] or "", _page_key(None, page), hashes, own))
+        return [list(x) for x in zip(*out)]
 
-    marks = shared_lines(beside(base, [], ["_url", "_html"], "page binary, host string, path string, query string, content binary, lines array<bigint>", keyed))
+    made = "page binary, host string, path string, query string, content binary, lines array<bigint>, t array<struct<x:string,at:int>>"
+    held = written(beside(base, ["_id", "_url"], ["_url", "_html"], made, parsed), "html")  # pages are parsed once
+    marks = durable(shared_lines(held.select("page", *_ORDER[:-1], "lines")))
+    if (marks.agg(F.sum(F.size("shared") + 64)).first()[0] or 0) <= MARK_BYTES:
+        marks = F.broadcast(marks)
+    joined = held.select("_id", "_url", "page", "t").join(marks, "page", "left")
     # lines outside article and main have a place in the marks; marked ones go
-    joined = beside(base, ["_id", "_url"], ["_url", "_html"], "page binary, t array<struct<x:string,at:int>>", kept).join(marks, "page", "left")
     own = F.filter("t", lambda x: (x["at"] < 0) | ~F.coalesce(F.get("shared", x["at"]), F.lit(False)))
     text = F.array_join(F.transform(F.when(F.col("shared").isNull(), F.col("t")).otherwise(own), lambda x: x["x"]), " ")
     out = joined.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text"))
