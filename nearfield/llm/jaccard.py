@@ -49,10 +49,17 @@ def folded(texts: Iterable[str | None]) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
 
 
-def node_of(s: np.ndarray) -> int:
-    """The identity of a set: a 63-bit hash of its sum, XOR and size."""
-    x = mix(np.array([s.sum(dtype=U)], U) + mix(np.array([np.bitwise_xor.reduce(s) if len(s) else 0], U)) * U(3) + U(len(s)))
-    return int(x[0] >> U(1))
+def halves(s: np.ndarray) -> tuple[int, int]:
+    """Two 63-bit hashes of a set, from its sum, XOR and size."""
+    x = np.array([s.sum(dtype=U), np.bitwise_xor.reduce(s) if len(s) else 0, len(s)], U)
+    y = mix(mix(x) * np.array([1, 3, 5], U))
+    return int(mix(y[:1] + y[1:2] * U(7) + y[2:])[0] >> U(1)), int(mix(y[:1] * U(11) + y[1:2] + y[2:] * U(13))[0] >> U(1))
+
+
+def node_of(s: np.ndarray, clash: frozenset = frozenset()) -> int:
+    """The identity of a set: half of its hash, or the other half where unlike sets share the first."""
+    a, b = halves(s)
+    return b if a in clash else a
 
 
 def allowed(n: int) -> int:
@@ -91,7 +98,7 @@ def fold(s: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((mix(s) & U(bits - 1)).astype("i8"), minlength=bits) & 1
 
 
-def _blobs(docs: DataFrame, text: str, groups: int) -> DataFrame:
+def _blobs(docs: DataFrame, text: str, groups: int, clash: frozenset) -> DataFrame:
     """(p, keys, nodes): packed entries of all texts, by the leading bits of the sketch.  A task sends those of equal sets
     once, so that a text's copies, however many, count once a task."""
     shift = U(64 - (groups.bit_length() - 1))
@@ -102,7 +109,7 @@ def _blobs(docs: DataFrame, text: str, groups: int) -> DataFrame:
             texts, ks, ns = folded(held), [], []
             for lo, hi in chunks(texts):
                 for s in shingle_sets(texts[lo:hi], SHINGLE):
-                    if not len(s) or (node := node_of(s)) in done:
+                    if not len(s) or (node := node_of(s, clash)) in done:
                         continue
                     done.add(node)
                     if len(k := keys(s)):
@@ -141,19 +148,21 @@ def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, n, node, entries) of every row; node is NULL for an empty set."""
+    """(_id, n, node, other, entries) of every row; node and other, the halves of a hash, are NULL for an empty set."""
 
-    def sets(texts: list[str | None]) -> tuple[list, list, list]:
-        n, node, entries = [], [], []
+    def sets(texts: list[str | None]) -> list[list]:
+        n, node, other, entries = [], [], [], []
         whole = folded(texts)
         for lo, hi in chunks(whole):
             for s in shingle_sets(whole[lo:hi], SHINGLE):
                 n.append(len(s))
-                node.append(node_of(s) if len(s) else None)
+                a, b = halves(s) if len(s) else (None, None)
+                node.append(a)
+                other.append(b)
                 entries.append((allowed(len(s)) + 1) * len(bands(len(s))) if len(s) else 0)
-        return n, node, entries
+        return [n, node, other, entries]
 
-    return beside(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], ["_text"], "n bigint, node bigint, entries bigint", sets)
+    return beside(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], ["_text"], "n bigint, node bigint, other bigint, entries bigint", sets)
 
 
 BLOOM_MAX = 1 << 26
@@ -175,7 +184,7 @@ def _bloom(found: DataFrame, count: int) -> tuple[bytes, int]:
     return whole.tobytes(), bits
 
 
-def _sets(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, text_col: str, found: DataFrame, clash: frozenset) -> DataFrame:
     """(node, s): the packed sets of the nodes in buckets.  Texts are hashed again and only those that pass the bit
     table leave their task, once a task; a join then keeps exactly the wanted ones."""
     wanted_nodes = compact(found.select("node").distinct())
@@ -189,7 +198,7 @@ def _sets(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
             for lo, hi in chunks(texts):
                 for s in shingle_sets(texts[lo:hi], SHINGLE):
                     if len(s):
-                        node = node_of(s)
+                        node = node_of(s, clash)
                         at = int(mix(np.array([node], U))[0]) & (bits - 1)
                         if node not in done and wanted[at >> 3] >> (at & 7) & 1:
                             done.add(node)
@@ -306,9 +315,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         held = durable(nodes(docs, id_col, text_col))
         total = held.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
         groups = max(1 << (max(1, total // GROUP) - 1).bit_length(), 1)
-        blobs = _blobs(docs, text_col, groups)
+        # halves that unlike sets share (by chance, a handful in 10**10 sets): these sets go by the other half
+        twice = held.groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b")
+        clash = frozenset(r[0] for r in twice.select("node").collect())
+        if clash:
+            held = durable(held.withColumn("node", F.when(F.col("node").isin(list(clash)), F.col("other")).otherwise(F.col("node"))))
+        blobs = _blobs(docs, text_col, groups, clash)
         found = compact(blobs.groupBy("p").applyInPandas(_buckets, "bucket bigint, node bigint").dropDuplicates(["bucket", "node"]))
-        return held, small(_roots(docs, text_col, found))
+        return held, small(_roots(docs, text_col, found, clash))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,12 +338,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
-def _roots(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
+def _roots(docs: DataFrame, text_col: str, found: DataFrame, clash: frozenset) -> DataFrame:
     """(node, root) of the linked nodes.  A node's weight is how many others its buckets hold: what a group of near
     copies comes from outweighs its variants.  First every node is compared with the weightiest node that it shares a
     bucket with, then each component of a bucket with the weightiest one.  That leaves few components in a bucket,
     and then all of its pairs in different components are compared."""
-    sets = _sets(docs, text_col, found)
+    sets = _sets(docs, text_col, found, clash)
     sketches = _sketches(sets)
     # tables that are joined stand written: a join of such splits a key of any number of rows
     sizes = small(compact(found.groupBy("bucket").agg(F.count("*").alias("m"))))

@@ -45,6 +45,18 @@ def test_jaccard(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.query(spark, SMALL).collect()} == linked(texts)
 
 
+def test_sets_that_share_half_a_hash(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [[f"{p}{i}" for i in range(60)] for p in "abcd"]
+    texts = {i: " ".join(w if rng.random() < 0.97 else "other" for w in base[i % 4]) for i in range(24)} | {90: " ".join(base[0]), 91: " ".join(base[0])}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = jaccard.halves
+    some = lambda s: (whole(s)[0] % 3, whole(s)[1])
+    monkeypatch.setattr(jaccard, "halves", some)  # both travel to the workers with what calls them
+    monkeypatch.setattr(jaccard, "node_of", lambda s, clash=frozenset(): some(s)[some(s)[0] in clash])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(d).collect()} == linked(texts)
+
+
 def redacted(text):
     """Every secret replaced, by plain regular expressions over the text."""
     rules = [(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", 12), (r"(AKIA[A-Z0-9]+)", 18), (r"([0-9a-f]+)", 16)]
