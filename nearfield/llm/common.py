@@ -18,7 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch that are Python objects at a time (a longer text is alone).
 SLICE_BYTES = 8 << 20
 #: Rows of a table that is small enough to be sent to every task.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 _made: dict[str, list[str]] = {}
 
@@ -82,6 +82,15 @@ def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return held.coalesce(max(1, held.count() // rows + 1))
 
 
+def joinable(df: DataFrame) -> DataFrame:
+    """compact(df) for the other side of a join: sent to every task while it has few rows, and else a written table whose
+    join on a hot key adaptive execution can split (it cannot behind an aggregate)."""
+    held = durable(df)
+    n = held.count()
+    out = held.coalesce(max(1, n // 100_000 + 1))
+    return F.broadcast(out) if n <= BROADCAST_ROWS else out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (durable), marked for broadcast if it is counted to have at most so many rows; else Spark plans its join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

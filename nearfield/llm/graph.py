@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import compact, small
+from nearfield.llm.common import compact, joinable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     old = print_of(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = small(compact(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))))
+        low = joinable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         # large star: every larger neighbour goes to the smallest neighbour
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every smaller neighbour, and the node, go to the smallest one
         large = compact(large)
-        least = small(compact(large.groupBy("a").agg(F.min("b").alias("m"))))
+        least = joinable(large.groupBy("a").agg(F.min("b").alias("m")))
         up = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = compact(up.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         new = print_of(now)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import beside, bounded, compact, documents, durable, small, values, written
+from nearfield.llm.common import beside, bounded, compact, documents, durable, joinable, small, values, written
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -303,7 +303,7 @@ def _rest(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
     block = lambda k: F.pmod(F.xxhash64("node"), F.greatest(k, F.lit(1).cast("bigint")))
     own = F.when(F.col("c") == F.col("main"), F.col("kr") + block(F.col("km"))).otherwise(block(F.col("kr")))
     others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("own") >= F.col("kr"), F.col("kr")).otherwise(F.col("kr") + F.col("km")) - 1)
-    rows = labelled.join(small(compact(_cells(labelled))), "bucket").join(sketches, "node").withColumn("own", own)
+    rows = labelled.join(joinable(_cells(labelled)), "bucket").join(sketches, "node").withColumn("own", own)
     rows = rows.select("bucket", "n", "node", "c", "f", "own", F.explode(others).alias("o"))
     rows = rows.select("bucket", "n", "node", "c", "f", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "n", "node").mapInPandas(run, "a bigint, b bigint").distinct()
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a row a node from here on: copies of one text, however many, are added up before they meet
     own = held.filter("node is not null").groupBy("node").agg(F.min("_id").alias("_least")).join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
     own = durable(own.select("node", "c", "_least"))
-    least = small(durable(own.groupBy("c").agg(F.min("_least").alias("component_id"))))
+    least = joinable(own.groupBy("c").agg(F.min("_least").alias("component_id")))
     by_node = durable(own.select("node", "c").join(least, "c").select("node", "component_id"))
     # the row's own component: by node, as rows with one id may differ in text
     out = held.join(by_node, "node", "left")
@@ -346,10 +346,10 @@ def _roots(docs: DataFrame, text_col: str, found: DataFrame, clash: frozenset) -
     sets = _sets(docs, text_col, found, clash)
     sketches = _sketches(sets)
     # tables that are joined stand written: a join of such splits a key of any number of rows
-    sizes = small(compact(found.groupBy("bucket").agg(F.count("*").alias("m"))))
+    sizes = joinable(found.groupBy("bucket").agg(F.count("*").alias("m")))
     weights = found.join(sizes, "bucket").groupBy("node").agg(F.sum("m").alias("w"))
     found = compact(found.join(weights, "node").select("bucket", F.struct("w", "node").alias("x")))
-    lead = small(compact(found.groupBy("bucket").agg(F.max("x").alias("l"))))
+    lead = joinable(found.groupBy("bucket").agg(F.max("x").alias("l")))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried = found.join(lead, "bucket").filter("x <> l").groupBy("x.node").agg(F.max("l").alias("l")).select(*pair("node", "l.node")).distinct()
     tried = compact(_possible(tried, sketches))
@@ -361,7 +361,7 @@ def _roots(docs: DataFrame, text_col: str, found: DataFrame, clash: frozenset) -
             new = _rest(label.drop("x"), sketches).join(tried, ["a", "b"], "left_anti")
         else:
             one = compact(label.groupBy("bucket", "c").agg(F.max("x").alias("x")))
-            first = small(compact(one.groupBy("bucket").agg(F.max(F.struct("x", "c")).alias("l"))))
+            first = joinable(one.groupBy("bucket").agg(F.max(F.struct("x", "c")).alias("l")))
             stars = one.join(first, "bucket").filter("c <> l.c").select(*pair("x.node", "l.x.node")).distinct()
             new = _possible(stars.join(tried, ["a", "b"], "left_anti"), sketches)
         new = compact(new)

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, durable, small
+from nearfield.llm.common import documents, durable, joinable, small
 
 HASH_BITS, STEP = 60, 12
 
@@ -106,7 +106,7 @@ def _thresholds(narrow: DataFrame, target: DataFrame) -> DataFrame:
         wanted = sums.withColumn("_c", F.sum("_m").over(run)).join(small(state.select(F.col("_s").alias("_q"), F.col("_want").alias("_w"))), F.col("_o").eqNullSafe(F.col("_q")))
         ends = wanted.filter("_w > 0 and _c >= _w and _c - _m < _w").select("_o", (F.shiftleft("_part", shift)).alias("_at"), (F.col("_w") - F.col("_c") + F.col("_m")).alias("_rest"), "_m")
         new = {"_lo": F.coalesce("_at", "_lo"), "_want": F.coalesce("_rest", "_want"), "_tie": F.coalesce("_m", "_tie")}
-        state = durable(state.join(small(durable(ends)), F.col("_s").eqNullSafe(F.col("_o")), "left").withColumns(new).select(*state.columns))
+        state = durable(state.join(joinable(ends), F.col("_s").eqNullSafe(F.col("_o")), "left").withColumns(new).select(*state.columns))
     return state
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import suffixes
-from nearfield.llm.common import beside, bounded, documents, durable, small, values
+from nearfield.llm.common import beside, bounded, documents, durable, joinable, small, values
 from nearfield.llm.textnum import Prefix, U, chunks, mix
 
 LENGTH, GRAM, BLOCK, LAST = 400, 16, 128, 8
@@ -212,7 +212,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = rows.groupBy("core", "span").agg(F.count("*").alias("n"), F.max("known").alias("k"), F.min(F.struct("blob", "anchor", "base", "lo")).alias("first"))
     # what is joined stands written: a join of such splits a core or span of any number of pieces
     spans = durable(spans.withColumn("twice", F.col("k") | (F.col("n") > 1)))
-    cores = small(durable(spans.groupBy("core").agg(F.count("*").alias("m"), F.sum(F.when(F.col("twice"), 0).otherwise(1)).alias("opened"))))
+    cores = joinable(spans.groupBy("core").agg(F.count("*").alias("m"), F.sum(F.when(F.col("twice"), 0).otherwise(1)).alias("opened")))
     marked = durable(rows.join(small(spans.select("core", "span", "twice", "first")), ["core", "span"]).join(cores, "core"))
     found = marked.filter("twice and not known").select("blob", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).cast("bigint").alias("n"))
     first = F.struct("blob", "anchor", "base", "lo") == F.col("first")
