@@ -233,7 +233,7 @@ for _kind, _col, _val in (("partition", "label", "4"), ("meta_int", "label", "6"
         if _kind == "meta_bool" and _o not in ("eq", "ne"):
             continue
         query(f"knn_{_kind}_{_o}", _top(_dist("l2"), f"{_col} {_sym} {_val}"))(lambda s, sf, p=f"{_col} {_sym} {_val}": rounded(knn(s, sf).where(F.expr(p)).run(vector(s, sf), K)))
-for _name, _p in {"knn_partition_range": "label >= 2 AND label < 6", "knn_partition_in": "label IN (1, 3, 8)", "knn_meta_int_in": "label IN (2, 5)", "knn_meta_text_in": "txt IN ('10', '20', '30', '333')", "knn_meta_between": "real BETWEEN 50 AND 120", "knn_multi_filter": "label >= 2 AND label <> 7 AND flag AND real < 200.0 AND txt > '1'"}.items():
+for _name, _p in {"knn_partition_range": "label >= 2 AND label < 6", "knn_partition_in": "label IN (1, 3, 8)", "knn_meta_int_in": "label IN (2, 5)", "knn_meta_text_in": "txt IN ('10', '20', '30', '333')", "knn_meta_between": "real BETWEEN 50 AND 120", "knn_meta_or": "label = 2 OR (flag AND real < 30.0)", "knn_multi_filter": "label >= 2 AND label <> 7 AND flag AND real < 200.0 AND txt > '1'"}.items():
     query(_name, _top(_dist("l2"), _p))(lambda s, sf, p=_p: rounded(knn(s, sf).where(F.expr(p)).run(vector(s, sf), K)))
 for _o in ("gt", "ge", "lt", "le"):
     query(f"knn_distance_{_o}", _top(_dist("l2"), f"d {_OPS[_o]} 1.3"))(lambda s, sf, o=_o: rounded(knn(s, sf).within(**{o: 1.3}).run(vector(s, sf), K)))
@@ -290,6 +290,7 @@ query("fullscan", "SELECT vec_id, label, len(embedding)::INT AS n FROM embedding
 query("point_lookup", "SELECT vec_id, label FROM embeddings WHERE vec_id = 42")(lambda s, sf: table(s, sf, "embeddings").filter("vec_id = 42").select("vec_id", "label"))
 query("text_pk_lookup", "SELECT vec_id::VARCHAR AS id, label FROM embeddings WHERE vec_id::VARCHAR = '42'")(lambda s, sf: emb(s, sf).filter("txt = '42'").select(F.col("txt").alias("id"), "label"))
 query("count_by_partition", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")(lambda s, sf: table(s, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n")))
+query("farthest_point", f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT *, {_dist('l2')} AS d FROM {_EMB}) ORDER BY d DESC, vec_id LIMIT 1")(lambda s, sf: rounded(knn(s, sf).scored(vector(s, sf)).select("vec_id", "distance").orderBy(F.desc("distance"), "vec_id").limit(1)))
 query("centroid_by_label", "SELECT label, (pos - 1)::INT AS pos, round(avg(x::DOUBLE), 6) AS value FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL")(lambda s, sf: rounded(vec_mean(table(s, sf, "embeddings"), "label"), "value"))
 query("distance_rollup", f"SELECT label, vec_id % 2 = 0 AS flag, count(*) AS n, round(max(d), 6) AS farthest FROM (SELECT *, {_dist('l2')} AS d FROM {_EMB}) GROUP BY ROLLUP (label, vec_id % 2 = 0)")(
     lambda s, sf: knn(s, sf).scored(vector(s, sf)).rollup("label", "flag").agg(F.count("*").alias("n"), F.round(F.max("distance"), 6).alias("farthest"))
@@ -298,8 +299,8 @@ query("distance_rollup", f"SELECT label, vec_id % 2 = 0 AS flag, count(*) AS n,
 # --- approximate search ----------------------------------------------------------------------------------------
 
 
-def _rescore_oracle(coarse: str, metric: str = "l2", columns: str = "vec_id") -> str:
-    return f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT *, {_dist(metric)} AS d FROM (SELECT *, {coarse} AS c FROM {_EMB} ORDER BY c, vec_id LIMIT {K * 8})) ORDER BY d, vec_id LIMIT {K}"
+def _rescore_oracle(coarse: str, metric: str = "l2", where: str = "TRUE") -> str:
+    return f"SELECT vec_id, round(d, 6) AS distance FROM (SELECT *, {_dist(metric)} AS d FROM (SELECT *, {coarse} AS c FROM {_EMB} WHERE {where} ORDER BY c, vec_id LIMIT {K * 8})) ORDER BY d, vec_id LIMIT {K}"
 
 
 query("rescore_bit", _rescore_oracle(_hamming(">=")))(lambda s, sf: rounded(rescore.search(knn(s, sf), vector(s, sf), K)))
@@ -513,6 +514,15 @@ query("table_ivf_all_cells", _top(_dist("l2"), "label < 7"))(lambda s, sf: round
 query("table_ivf_batch", _batch_oracle(_EVERY, K))(lambda s, sf: rounded(_table(s, sf, "ivf(nlist=16, nprobe=16)").knn().batch(_asked(s, sf, _EVERY), K)))
 
 
+def _without(t: VecTable) -> VecTable:
+    t.delete(F.col("vec_id") % 4 == 1)
+    return t
+
+
+query("table_rescore_deleted", _rescore_oracle(_hamming(">="), where="vec_id % 4 <> 1"))(lambda s, sf: rounded(_without(_table(s, sf, "rescore(quantizer=bit)")).knn().run(vector(s, sf), K)))
+query("table_ivf_deleted", _top(_dist("l2"), "vec_id % 4 <> 1"))(lambda s, sf: rounded(_without(_table(s, sf, "ivf(nlist=16, nprobe=16)")).knn().run(vector(s, sf), K)))
+
+
 @query("table_diskann_reached", _REACHED)
 def _(s, sf):
     """After a delete, an insert that waits in the buffer and a search with a predicate."""
