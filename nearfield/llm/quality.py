@@ -38,7 +38,9 @@ SETTLED = 1e-3
 #: CUT is the 4e-8 tail of chi-square with four degrees, as clean texts are not quite Gaussian.
 FLOOR = (0.05, 0.04, 0.12, 0.14)
 NAMES = ("x0", "x1", "x2", "x3")
-_BINS = 64  # histogram bins for each factor e of a distance, and for each unit of a statistic
+#: Histogram bins for each factor e of a squared distance (from e**-4 to e**6, all beyond being in the end bins) and, four
+#: times as many, for each unit of a statistic.
+_BINS = 64
 
 
 def with_counts(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -165,7 +167,7 @@ def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
     """One step: mean and covariance of the nearest half of each group, under each of its estimates.  A bin of distances
     brings its rows' moments along, so that a step is one aggregate over the rows."""
     params = [c for c in est.columns if c not in ("g", "n", "level", "logdet", "_was")]
-    near = rows.drop("level").join(small(est.select("g", *params)), "g").select("g", "start", *NAMES, F.floor(F.log(_distance() + 1e-6) * _BINS).cast("bigint").alias("_b"))
+    near = rows.drop("level").join(small(est.select("g", *params)), "g").select("g", "start", *NAMES, F.floor(F.greatest(F.lit(-4.0), F.least(F.lit(6.0), F.log(_distance() + 1e-6))) * _BINS).cast("bigint").alias("_b"))
     bins = _leading(near, ["g", "start"], "_b", 0.5, _moments())
     sums = [F.sum(c).alias(c) for c in ["_n", *[f"_s{i}" for i in range(4)], *[f"_s{i}{j}" for i in range(4) for j in range(i + 1)]]]
     half = bins.groupBy("g", "start").agg(*sums)
