@@ -257,7 +257,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with bounded(docs.sparkSession):
         settled = durable(_entries(base.select("blob", "text"), groups).groupBy("p").applyInPandas(_settled, "blob bigint, places binary, open boolean"))
     mine = settled.groupBy("blob").agg(F.collect_list("places").alias("places"))
-    todo = settled.filter("open").groupBy("blob").agg(F.collect_list("places").alias("places"))
+    # what joins the texts stands written, so that a text with any number of copies is split
+    todo = durable(settled.filter("open").groupBy("blob").agg(F.collect_list("places").alias("places")))
     rows = _cut_open(base.select("blob", "text").join(todo, "blob")).dropDuplicates(["blob", "anchor", "base", "hi"])
     found = None
     block = BLOCK
@@ -269,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = got if found is None else found.unionByName(got)
     found = durable(found.unionByName(_sorted_out(rows)))
     single = found.groupBy("blob").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
-    marks = mine.join(single, "blob", "full").join(copies.withColumn("copied", F.lit(True)), "blob", "full")
+    marks = durable(mine.join(single, "blob", "full").join(copies.withColumn("copied", F.lit(True)), "blob", "full"))
     made = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_text else "")
     done = beside(base.join(marks, "blob", "left"), ["_id"], ["text", "places", "windows", "copied"], made, lambda *x: _assemble(with_text, *x))
     return done.withColumnRenamed("_id", id_col)
