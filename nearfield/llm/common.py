@@ -76,18 +76,21 @@ def release(spark: SparkSession, folders: Sequence[str]) -> None:
         _made[spark.sparkContext.applicationId].remove(out)
 
 
-def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """durable(df) in partitions of about so many rows at least: small tables then cost a shuffle few files."""
+def counted(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """durable(df) in partitions of about so many rows at least (small tables then cost a shuffle few files), and its rows."""
     held = durable(df)
-    return held.coalesce(max(1, held.count() // rows + 1))
+    n = held.count()
+    return held.coalesce(max(1, n // rows + 1)), n
+
+
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    return counted(df, rows)[0]
 
 
 def joinable(df: DataFrame) -> DataFrame:
     """compact(df) for the other side of a join: sent to every task while it has few rows, and else a written table whose
     join on a hot key adaptive execution can split (it cannot behind an aggregate)."""
-    held = durable(df)
-    n = held.count()
-    out = held.coalesce(max(1, n // 100_000 + 1))
+    out, n = counted(df)
     return F.broadcast(out) if n <= BROADCAST_ROWS else out
 
 
