@@ -64,7 +64,11 @@ def beam(q: np.ndarray, x: np.ndarray, links: list[np.ndarray], start: int, widt
     query's code, and the best are measured exactly at the end."""
     far, target = (x, q) if codes is None else (codes, code)
     by = metric if codes is None or codes.dtype != np.uint8 else "hamming"
-    away = lambda some: kernels.exact(far, target[None], np.zeros(len(some), "i8"), some, by)
+
+    def away(some: np.ndarray) -> np.ndarray:
+        d = kernels.exact(far, target[None], np.zeros(len(some), "i8"), some, by)
+        return np.where(np.isnan(d), np.inf, d)  # a zero vector under cosine
+
     first = float(away(np.array([start]))[0])
     seen, open_ = np.zeros(len(x), bool), [(first, start)]
     seen[start] = True
