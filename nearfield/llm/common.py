@@ -99,6 +99,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def row_key(columns: Sequence[Column]) -> list[Column]:
+    """_k1 and _k2, 128 bits of a hash of the columns, NULLs told from values: rows with equal keys hold the same."""
+    none = F.array(*[c.isNull() for c in columns])
+    return [F.xxhash64(*columns, none).alias("_k1"), F.xxhash64(F.lit("k2"), none, *columns[::-1]).alias("_k2")]
+
+
+def keyed(df: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
+    """(_row, _k1, _k2, more): df's rows as structs, with the key of some columns, so that no name can clash; more may use
+    ``_row``."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    return rows.select("_row", *row_key([F.col("_row")[c] for c in columns]), *more)
+
+
+def unkeyed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.col("_row")[c].alias(c) for c in columns])
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about SLICE_BYTES (one row at least)."""
     for b in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import beside, bounded, compact, documents, durable, joinable, small, values, written
+from nearfield.llm.common import beside, bounded, compact, documents, durable, joinable, keyed, small, unkeyed, values
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -375,20 +375,20 @@ def _roots(docs: DataFrame, text_col: str, found: DataFrame, clash: frozenset) -
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the smallest id's (NULL ids last), of several such the one with the smallest
-    hash.  Rows are written once with a key of their own, so that NULL and repeated ids are told apart; rows without a
-    set all stay."""
-    solid = [c for c, kind in docs.dtypes if kind != "void"]  # Parquet has no column without a type
-    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if c in solid and "map<" not in kind]
-    row = F.struct(*[F.col(f"`{c}`") for c in solid]).alias("_row")
-    rows = written(docs.select(row, F.monotonically_increasing_id().alias("_k"), F.xxhash64(*hashed).alias("_h")), "near")
-    held, roots = _linked(rows.select("_k", F.col("_row")[text_col].alias("_t")), "_k", "_t")
-    named = held.filter("node is not null").select("_id", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node"))
-    order = rows.select(F.col("_k").alias("_id"), F.struct(F.col("_row")[id_col].isNull().alias("none"), F.col("_row")[id_col].alias("id"), "_h", "_k").alias("_o"))
-    named = durable(named.select("_id", "c").join(order, "_id"))
-    first = named.groupBy("c").agg(F.min("_o").alias("_o")).select(F.col("_o._k").alias("_id"))
-    gone = named.select("_id").join(first, "_id", "left_anti").select(F.col("_id").alias("_k"))
-    kept = rows.join(gone, "_k", "left_anti")
-    return kept.select(*[F.col("_row")[c].alias(c) if c in solid else F.lit(None).alias(c) for c in docs.columns])
+    hash.  Rows are told apart by a 128-bit key of all their columns, so that NULL and repeated ids do no harm; of rows that
+    are equal in all of them one stays.  Rows without a set all stay."""
+    hashed = [c for c, kind in docs.dtypes if kind != "void" and "map<" not in kind]
+    rows = keyed(docs, hashed)
+    one = F.struct(F.col("_row")[id_col].isNull().alias("none"), F.col("_row")[id_col].alias("id"), "_k1", "_k2").alias("_o")
+    held, roots = _linked(rows.select(one, F.col("_row")[text_col].alias("_t")), "_o", "_t")
+    named = held.filter("node is not null").join(roots, "node", "left").select(F.coalesce("root", "node").alias("c"), F.col("_id").alias("o"))
+    times = durable(named.groupBy("c", "o").agg(F.count("*").alias("n")))
+    first = joinable(times.groupBy("c").agg(F.min("o").alias("w")))
+    marked = durable(times.join(first, "c").select("o._k1", "o._k2", "n", F.col("o").eqNullSafe(F.col("w")).alias("stays")))
+    gone, again = joinable(marked.filter("not stays").select("_k1", "_k2")), joinable(marked.filter("stays and n > 1").select("_k1", "_k2"))
+    left = rows.join(gone, ["_k1", "_k2"], "left_anti")
+    single = left.join(again, ["_k1", "_k2"], "left_anti")
+    return unkeyed(single.unionByName(left.join(again, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

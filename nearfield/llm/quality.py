@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, durable, small, word_array, written
+from nearfield.llm.common import documents, durable, joinable, keyed, small, unkeyed, word_array
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MIN_ROWS, STEPS, CUT = 50, 20, 12, 40.0
@@ -216,15 +216,15 @@ def judge(docs: DataFrame, id_cols: list[str], text_col: str = "text", lang_col:
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that the rules keep, in docs' columns.  Rows are written once beside their statistics, so that texts are
-    counted once and not shuffled, and the estimates read the narrow columns only; rows with NULL or repeated ids are
-    judged by what they hold."""
-    solid = [c for c, kind in docs.dtypes if kind != "void"]  # Parquet has no column without a type
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in solid]).alias("_row"))
-    named = whole.select("_row", *[F.col("_row")[c].alias(f"_c{i}") for i, c in enumerate((text_col, lang_col, source_col))])
-    stats = written(_statistics(named, ["_row"], "_c0", "_c1", "_c2"), "quality")
-    rows = _verdicts(stats, estimates(stats.filter(~F.col("base_failed"))))
-    return rows.filter("kept").select(*[F.col("_row")[c].alias(c) if c in solid else F.lit(None).alias(c) for c in docs.columns])
+    """The rows that the rules keep, in docs' columns.  Texts are counted once, into a narrow table; rows go whose text,
+    language and source were rejected, by a 128-bit key of these (ids are not looked at), so that texts are written nowhere
+    and travel only where the rejected keys are too many to be sent to every task."""
+    rows = keyed(docs, [text_col, lang_col, source_col])
+    names = {"_c0": text_col, "_c1": lang_col, "_c2": source_col}
+    stats = durable(_statistics(rows.select("_k1", "_k2", *[F.col("_row")[c].alias(n) for n, c in names.items()]), ["_k1", "_k2"], "_c0", "_c1", "_c2"))
+    judged = _verdicts(stats, estimates(stats.filter(~F.col("base_failed"))))
+    rejected = joinable(judged.filter(~F.col("kept")).select("_k1", "_k2").distinct())
+    return unkeyed(rows.join(rejected, ["_k1", "_k2"], "left_anti"), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
