@@ -19,6 +19,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 8 << 20
 #: Rows of a table that is small enough to be sent to every task.
 BROADCAST_ROWS = 20_000
+#: Keys of 16 bytes, with nothing beside them, that are few enough for that (3 MB).
+BROADCAST_KEYS = 200_000
 
 _made: dict[str, list[str]] = {}
 
@@ -87,11 +89,11 @@ def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return counted(df, rows)[0]
 
 
-def joinable(df: DataFrame) -> DataFrame:
+def joinable(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """compact(df) for the other side of a join: sent to every task while it has few rows, and else a written table whose
     join on a hot key adaptive execution can split (it cannot behind an aggregate)."""
     out, n = counted(df)
-    return F.broadcast(out) if n <= BROADCAST_ROWS else out
+    return F.broadcast(out) if n <= most else out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import beside, bounded, compact, documents, durable, joinable, keyed, small, unkeyed, values
+from nearfield.llm.common import BROADCAST_KEYS, beside, bounded, compact, documents, durable, joinable, keyed, small, unkeyed, values
 from nearfield.llm.graph import components
 from nearfield.llm.textnum import U, chunks, mix, shingle_sets
 
@@ -385,7 +385,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     times = durable(named.groupBy("c", "o").agg(F.count("*").alias("n")))
     first = joinable(times.groupBy("c").agg(F.min("o").alias("w")))
     marked = durable(times.join(first, "c").select("o._k1", "o._k2", "n", F.col("o").eqNullSafe(F.col("w")).alias("stays")))
-    gone, again = joinable(marked.filter("not stays").select("_k1", "_k2")), joinable(marked.filter("stays and n > 1").select("_k1", "_k2"))
+    gone, again = (joinable(marked.filter(f).select("_k1", "_k2"), BROADCAST_KEYS) for f in ("not stays", "stays and n > 1"))
     left = rows.join(gone, ["_k1", "_k2"], "left_anti")
     single = left.join(again, ["_k1", "_k2"], "left_anti")
     return unkeyed(single.unionByName(left.join(again, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])), docs.columns)

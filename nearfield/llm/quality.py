@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, durable, joinable, keyed, small, unkeyed, word_array
+from nearfield.llm.common import BROADCAST_KEYS, documents, durable, joinable, keyed, small, unkeyed, word_array
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MIN_ROWS, STEPS, CUT = 50, 20, 12, 40.0
@@ -223,7 +223,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     names = {"_c0": text_col, "_c1": lang_col, "_c2": source_col}
     stats = durable(_statistics(rows.select("_k1", "_k2", *[F.col("_row")[c].alias(n) for n, c in names.items()]), ["_k1", "_k2"], "_c0", "_c1", "_c2"))
     judged = _verdicts(stats, estimates(stats.filter(~F.col("base_failed"))))
-    rejected = joinable(judged.filter(~F.col("kept")).select("_k1", "_k2").distinct())
+    rejected = joinable(judged.filter(~F.col("kept")).select("_k1", "_k2").distinct(), BROADCAST_KEYS)
     return unkeyed(rows.join(rejected, ["_k1", "_k2"], "left_anti"), docs.columns)
 
 
