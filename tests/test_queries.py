@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from nearfield.operators.ivf import IvfIndex
@@ -38,3 +39,21 @@ def test_ivf_takes_the_name_binary(spark, sf):
     one = lambda kind: [tuple(r) for r in ivf.search(ivf.assign(e), q, 10, quantizer=kind, oversample=8).collect()]
     assert one("binary") == one("bit") and len(one("bit")) == 10
     assert one("none") == one(None)
+
+
+#: Odd multiples of 1/128 lie halfway between six decimals; beyond 2**53 a double's shortest digits are not all of them.
+_HALVES = [s * (2 * i + 1) / 128.0 for i in (0, 1, 2, 3, 64, 4095, 1 << 20) for s in (1, -1)]
+_LARGE = [2.0**53, -(2.0**60), 2.0**63, 1e20, -(2.0**66), 3.4028234663852886e38, -3e38, 1e38]
+_SMALL = [0.0, -0.0, -1e-9, 1e-45, 5e-7, 0.1]
+
+
+@pytest.mark.parametrize("name", ["vec_to_json", "sql_to_json", "vec_f32_json", "sql_from_json"])
+def test_json_rounds_as_the_sql(name, spark, tmp_path):
+    values = _HALVES + _LARGE + _SMALL
+    vectors = [(i, [values[(i + j) % len(values)] for j in range(64)]) for i in range(len(values))]
+    if name == "vec_to_json":  # what has no digits cannot be read again
+        vectors += [(100, [float("nan"), float("inf"), float("-inf"), 1.5]), (101, [0.25, None, 1.0]), (102, [None, None]), (103, []), (104, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert_same(QUERIES[name](spark, str(tmp_path)), duck, ORACLE[name])
